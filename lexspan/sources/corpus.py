@@ -54,9 +54,14 @@ class Corpus:
 
 
 def dataset_of_path(path: Column | None = None) -> Column:
-    """The dataset a row was read from, by its directory name."""
+    """The dataset a row was read from: the folder of its file.
+
+    Works for `<dataset>/train.parquet`, for `<dataset>/train.parquet/part-*` and for
+    partition folders `key=<dataset>/part-*`.
+    """
     path = F.col("_metadata.file_path") if path is None else path
-    return F.regexp_extract(F.url_decode(path), r"([^/]+)/[^/]+(?:/part-[^/]*)?$", 1)
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(plain, r"/(?:[^/=]+=)?([^/]+)(?:/[^/]+\.parquet)?/[^/]+$", 1)
 
 
 def distinct_datasets(df: DataFrame, column: str = "dataset") -> DataFrame:

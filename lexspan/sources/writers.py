@@ -27,7 +27,10 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def _csv(df: DataFrame):
     # Double quotes inside a field are doubled, as spreadsheet readers expect.
-    return df.write.option("header", True).option("escape", '"')
+    # The writer would strip surrounding blanks by default.
+    return df.write.options(
+        header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def csv_sample(chunks: DataFrame, order_by: list[str], n: int = CSV_SAMPLE) -> DataFrame:
