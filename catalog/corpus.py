@@ -38,7 +38,7 @@ from lexspan.plans.indexing import read_index, with_search_columns, write_index
 from lexspan.plans.parsing import paragraph_errors
 from lexspan.sources import corpus as src
 from lexspan.sources import writers
-from lexspan.session import scratch_path
+from lexspan.session import pin, scratch_path
 
 # ---------------------------------------------------------------- scans
 
@@ -124,7 +124,9 @@ def save_chunks(spark: SparkSession, sf: str) -> DataFrame:
 )
 def save_csv_sample(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "csv")
-    chunks = embed(_chunks(spark, sf).drop("dataset"), MODEL, "unofficial_text")
+    # The sample is taken from what was saved, so that the model runs once.
+    embedded = embed(_chunks(spark, sf).drop("dataset"), MODEL, "unofficial_text")
+    chunks = pin(embedded, "embedded")
     writers.save_csv_sample(chunks, path, ["doc_id", "chunk_idx"])
     return (
         spark.read.schema("doc_id long, chunk_idx long, unofficial_text string, embedding string")

@@ -1,8 +1,9 @@
 """Chunkers: documents in, chunks out, without a shuffle.
 
 A chunker is an object with `add_chunks(df, text_col, into)`, which adds an
-array-of-strings column. `chunk` explodes it and keeps every other column, so
-metadata travels with each chunk.
+array-of-strings column, and `count(text)`, the number of chunks when that can be told
+without making them. `chunk` explodes the array and keeps every other column, so metadata
+travels with each chunk.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ CHUNKS = "_chunks"
 
 
 class Chunker(Protocol):
-    # True when chunking runs a model, so that it should not be done twice.
-    costly: bool
-
     def add_chunks(self, df: DataFrame, text_col: str, into: str = CHUNKS) -> DataFrame: ...
 
+    def count(self, text: Column) -> Column | None: ...
+
 
 @dataclass(frozen=True)
 class NaiveChunker:
@@ -37,7 +37,6 @@ class NaiveChunker:
 
     max_chars: int = 512
     overlap: int = 64
-    costly = False
 
     def __post_init__(self) -> None:
         if not 0 <= self.overlap < self.max_chars:
@@ -61,8 +60,7 @@ class NaiveChunker:
             .drop(f"{into}_steps")
         )
 
-    def count(self, text: Column) -> Column:
-        """Number of chunks, from the length alone."""
+    def count(self, text: Column) -> Column | None:
         step = self.max_chars - self.overlap
         return F.ceil(F.length(text) / F.lit(step)).cast("long")
 
@@ -80,7 +78,6 @@ class TopicChunker:
     threshold: float = 0.6
     max_chars: int = 1024
     splitter: Callable[[Column], Column] = sentence_split
-    costly = True
 
     def add_chunks(self, df: DataFrame, text_col: str, into: str = CHUNKS) -> DataFrame:
         sentences, sims, ends = f"{into}_sentences", f"{into}_sims", f"{into}_ends"
@@ -92,6 +89,9 @@ class TopicChunker:
             .drop(sentences, sims, ends)
         )
 
+    def count(self, text: Column) -> Column | None:
+        return None
+
     def _ends(self, sentences: Column, sims: Column) -> Column:
         """Position after the last sentence of each chunk, by a fold over sentences."""
         state = F.struct(

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.accumulators import Accumulator
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexspan.functions.text import tokens
-from lexspan.operators.models import EmbeddingModel, Predict
-
-VECTOR = T.ArrayType(T.FloatType())
+from lexspan.operators.arrow import from_matrix
+from lexspan.operators.models import EmbeddingModel
 
 
 class CallCounter:
@@ -35,22 +36,27 @@ class CallCounter:
 def embed_column(
     text: Column, model: EmbeddingModel, counter: CallCounter | None = None
 ) -> Column:
-    """The vector of each text; the model is made once per Python worker."""
+    """The vector of each text, null for a null text.
+
+    The model is made once per task and sees at most `batch_size` texts per call.
+    """
     calls = counter.calls if counter else None
 
-    def make_predict_fn() -> Predict:
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = model.make_predict_fn()
-        if calls is None:
-            return predict
-
-        def counted(texts):
-            calls.add(1)
-            return predict(texts)
-
-        return counted
-
-    udf = predict_batch_udf(make_predict_fn, return_type=VECTOR, batch_size=model.batch_size)
-    return udf(text)
+        for batch in batches:
+            present = batch.is_valid().to_numpy(zero_copy_only=False)
+            texts = batch.drop_null().to_numpy(zero_copy_only=False)
+            found = [np.zeros((0, model.dim), dtype=np.float32)]
+            for lo in range(0, len(texts), model.batch_size):
+                found.append(predict(texts[lo : lo + model.batch_size]))
+                if calls is not None:
+                    calls.add(1)
+            matrix = np.vstack(found)
+            yield from_matrix(matrix, pa.float32(), None if present.all() else present)
+
+    return vectors(text)
 
 
 def embed(

@@ -12,18 +12,19 @@ fewer rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexspan.functions.vectors import NORM_FLOOR, cosine, l2_squared
+from lexspan.operators.arrow import to_ids, to_matrix
 
 L2 = "l2"
 COSINE = "cosine"
@@ -59,21 +60,6 @@ def distance(a: Column, b: Column, metric: str = L2) -> Column:
     raise ValueError(f"metric must be {L2} or {COSINE}, not {metric!r}")
 
 
-def knn_exact(
-    index: DataFrame,
-    query: list[float],
-    k: int = 5,
-    metric: str = L2,
-    columns: Columns = DEFAULT_COLUMNS,
-) -> DataFrame:
-    """The `k` rows nearest to one vector, with `distance` and `rank` from zero."""
-    vector = F.array(*[F.lit(float(x)) for x in query])
-    scored = index.withColumn("distance", distance(F.col(columns.index_vector), vector, metric))
-    nearest = scored.orderBy("distance", columns.index_id).limit(k)
-    order = W.orderBy("distance", columns.index_id)  # over k rows
-    return nearest.withColumn("rank", F.row_number().over(order) - 1)
-
-
 class _Best:
     """The best `k` rows per query seen so far in a task."""
 
@@ -109,6 +95,8 @@ class _Best:
         wanted = np.arange(len(self.queries)) if only is None else only
         if not len(ids) or not len(wanted):
             return
+        if x.shape[1] != self.queries.shape[1]:
+            raise ValueError(f"queries have {self.queries.shape[1]} dimensions, vectors {x.shape[1]}")
         xx = (x * x).sum(axis=1)
         top = min(self.k, len(ids)) - 1
         for lo in range(0, len(wanted), SCORE_ROWS):
@@ -146,20 +134,14 @@ class _Best:
         new = (qi[keep], d[keep], ids[keep])
         self.rows = new if rest is None else tuple(map(np.concatenate, zip(rest, new, strict=True)))
 
-    def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
+    def table(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.Table:
         if self.rows is None:
-            return pd.DataFrame({"query_id": query_ids[:0], "index_id": [], "distance": []})
+            return schema.empty_table()
         qi, d, ids = self.rows
-        return pd.DataFrame({"query_id": query_ids[qi], "index_id": ids, "distance": d})
-
-
-def _ids(values: pd.Series) -> np.ndarray:
-    array = values.to_numpy()
-    return array.astype(str) if array.dtype == object else array
-
-
-def _matrix(values: pd.Series) -> np.ndarray:
-    return np.vstack(values.to_numpy()).astype(np.float64) if len(values) else np.zeros((0, 0))
+        columns = (query_ids[qi], ids, d)
+        return pa.table(
+            [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+        )
 
 
 def _final(partial: DataFrame, k: int) -> DataFrame:
@@ -180,17 +162,22 @@ def _hit_schema(index: DataFrame, queries: DataFrame, columns: Columns) -> T.Str
 
 def small_queries(
     queries: DataFrame, columns: Columns, limit_bytes: int = BROADCAST_BYTES
-) -> pd.DataFrame | None:
+) -> pa.Table | None:
     """The query table if its vectors fit in `limit_bytes`, else nothing."""
     table = queries.select(
         F.col(columns.query_id).alias("query_id"), F.col(columns.query_vector).alias("vector")
     )
     first = table.select(F.array_size("vector")).first()
     if first is None:
-        return table.limit(0).toPandas()
+        return table.limit(0).toArrow()
     most = max(limit_bytes // (8 * max(first[0], 1)), 0)
-    head = table.limit(most + 1).toPandas()
-    return head if len(head) <= most else None
+    head = table.limit(most + 1).toArrow()
+    return head if head.num_rows <= most else None
+
+
+def query_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the matrix of a query table."""
+    return to_ids(table.column("query_id")), to_matrix(table.column("vector").combine_chunks())
 
 
 def knn_batch(
@@ -222,17 +209,18 @@ def knn_batch(
             k,
         )
     context = index.sparkSession.sparkContext
-    shared = context.broadcast((_ids(small["query_id"]), _matrix(small["vector"])))
+    shared = context.broadcast(query_arrays(small))
+
+    out = to_arrow_schema(schema)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix = shared.value
         best = _Best(matrix, k, metric)
         for batch in batches:
-            if len(batch):
-                best.add(_ids(batch["index_id"]), _matrix(batch["vector"]))
-        yield best.frame(query_ids)
+            best.add(to_ids(batch.column("index_id")), to_matrix(batch.column("vector")))
+        yield from best.table(query_ids, out).to_batches()
 
-    return _final(vectors.mapInPandas(search, schema), k)
+    return _final(vectors.mapInArrow(search, schema), k)
 
 
 def block_join(
@@ -258,6 +246,8 @@ def block_join(
     def copies(blocks: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
+    # One row per cell: no more than there are centres, which fit a broadcast.
+    sizes = F.broadcast(sizes)
     left = vectors.join(sizes, "cell").select(
         "index_id",
         "vector",
@@ -273,13 +263,32 @@ def block_join(
         copies("vector_blocks").alias("vb"),
     )
 
-    def compare(index_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(_matrix(query_rows["vector"]), k, metric)
-        best.add(_ids(index_rows["index_id"]), _matrix(index_rows["vector"]))
-        return best.frame(_ids(query_rows["query_id"]))
+    out = to_arrow_schema(schema)
+
+    def compare(index_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
+        query_ids, matrix = query_arrays(query_rows)
+        best = _Best(matrix, k, metric)
+        vectors_ = index_rows.column("vector").combine_chunks()
+        best.add(to_ids(index_rows.column("index_id")), to_matrix(vectors_))
+        return best.table(query_ids, out)
 
     block = ["cell", "vb", "qb"]
-    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(compare, schema)
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(compare, schema)
+
+
+def knn_exact(
+    index: DataFrame,
+    query: list[float],
+    k: int = 5,
+    metric: str = L2,
+    columns: Columns = DEFAULT_COLUMNS,
+) -> DataFrame:
+    """The `k` rows of `index` nearest to one vector, with `distance` and `rank`."""
+    spark = index.sparkSession
+    one = spark.createDataFrame([(0, [float(x) for x in query])], "query_id int, embedding array<double>")
+    asked = Columns(columns.index_id, columns.index_vector)
+    hits = knn_batch(index, one, k, metric, asked).drop("query_id")
+    return lookup_ranked(hits, index, columns.index_id)
 
 
 def lookup_ranked(hits: DataFrame, table: DataFrame, index_id: str = "index_id") -> DataFrame:
@@ -292,6 +301,3 @@ def lookup_ranked(hits: DataFrame, table: DataFrame, index_id: str = "index_id")
 def lookup_filter(hits: DataFrame, table: DataFrame, index_id: str = "index_id") -> DataFrame:
     """The rows of `table` that any query hit, without ranks."""
     return table.join(hits.select(F.col("index_id").alias(index_id)), index_id, "left_semi")
-
-
-SearchFn = Callable[..., DataFrame]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexspan.operators.filters import has_text
 from lexspan.schema import TEXT_EN, TEXT_FR
-from lexspan.session import pin
+from lexspan.session import pin, shuffle_partitions
 
 _PART = "_part"
 
@@ -30,12 +30,17 @@ def running_totals(
     `order_by` must identify a row. Returns those columns, one long per measure, and
     the `carry` columns as they are.
     """
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or shuffle_partitions(df.sparkSession)
     carry = carry or {}
-    narrow = df.select(
-        *order_by,
-        *[m.cast("long").alias(n) for n, m in measures.items()],
-        *[c.alias(n) for n, c in carry.items()],
+    # Written before it is partitioned, since finding the range bounds reads it twice
+    # and the measures may come from whole texts.
+    narrow = pin(
+        df.select(
+            *order_by,
+            *[m.cast("long").alias(n) for n, m in measures.items()],
+            *[c.alias(n) for n, c in carry.items()],
+        ),
+        "measures",
     )
     fixed = pin(
         narrow.repartitionByRange(parts, *order_by).withColumn(_PART, F.spark_partition_id()),

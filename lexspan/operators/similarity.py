@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +35,14 @@ def _embed_blocks(texts: np.ndarray, predict: Predict, batch: int) -> Iterator[n
         yield np.vstack(calls).astype(np.float64)
 
 
-def _adjacent(lists: pd.Series, predict: Predict, batch: int, wrap: bool) -> pd.Series:
-    sizes = np.array([0 if x is None else len(x) for x in lists], dtype=np.int64)
+def _adjacent(lists: pa.ListArray, predict: Predict, batch: int, wrap: bool) -> pa.ListArray:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     total = int(sizes.sum())
     ends = np.cumsum(sizes)
     starts = ends - sizes
     sims = np.zeros(total)
     if total:
-        flat = np.concatenate([x for x in lists if x is not None and len(x)])
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
         full = sizes > 0
         first_at, last_at = starts[full], ends[full] - 1
         around = np.zeros(len(first_at))
@@ -66,12 +67,14 @@ def _adjacent(lists: pd.Series, predict: Predict, batch: int, wrap: bool) -> pd.
             lo = hi
         # The last sentence of a text looks back at the first, not into the next text.
         sims[last_at] = around
-    return pd.Series(
-        [
-            None if x is None else sims[s : (e if wrap else max(e - 1, s))]
-            for x, s, e in zip(lists, starts, ends, strict=True)
-        ]
-    )
+    if not wrap:
+        keep = np.ones(total, dtype=bool)
+        keep[ends[sizes > 0] - 1] = False
+        sims, ends = sims[keep], np.cumsum(np.maximum(sizes - 1, 0))
+    offsets = np.r_[0, ends].astype(np.int32)
+    absent = np.r_[lists.is_null().to_numpy(zero_copy_only=False), False]
+    mask = absent if absent.any() else None
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=mask), pa.array(sims))
 
 
 def add_similarities(
@@ -83,8 +86,8 @@ def add_similarities(
     sentences); without, n - 1 values.
     """
 
-    @F.pandas_udf("array<double>")
-    def similarities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def similarities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = model.make_predict_fn()
         for lists in batches:
             yield _adjacent(lists, predict, model.batch_size, wrap)

@@ -17,7 +17,7 @@ from lexspan.operators.filters import drop_empty_text, filter_datasets
 from lexspan.operators.models import EmbeddingModel
 from lexspan.operators.ordinals import running_totals
 from lexspan.schema import CHUNK_IDX, TEXT_EN, TEXT_FR
-from lexspan.session import pin
+from lexspan.session import pin, shuffle_partitions
 
 # The token budget of a run and the chunks sent in one request.
 MAX_TOKENS = 100_000
@@ -44,45 +44,52 @@ def numbered_chunks(
     text_col: str = TEXT_EN,
     max_tokens: int | None = None,
 ) -> DataFrame:
-    """Chunks with a dense `index_id`, their document's `doc_ordinal`, and `num_tokens`
-    with the tokens before them in `tokens_before`.
+    """Chunks with a dense `index_id`, their document's `doc_ordinal`, and `num_tokens`.
 
-    A budget keeps chunks up to and including the one that first exceeds it. Totals are
-    taken per document, so only one narrow row per document is shuffled for them.
+    With a budget, chunks up to and including the one that first exceeds it are kept, and
+    `tokens_before` tells the tokens used before each. Totals are taken per document, so
+    one narrow row per document is shuffled for them.
     """
     chunker = chunker or NaiveChunker()
-    chunked = chunker.add_chunks(drop_empty_text(documents, text_col, "empty"), text_col)
-    chunked = chunked.drop(text_col).withColumn("_tokens", F.transform(CHUNKS, word_count))
-    if chunker.costly:
+    texts = drop_empty_text(documents, text_col, "empty")
+    chunked = chunker.add_chunks(texts, text_col).drop(text_col)
+    per_document = chunker.count(F.col(text_col))
+    if per_document is None:
+        # Counting chunks may take a model, which should run once.
         chunked = pin(chunked, "chunked")
-    tokens = F.aggregate("_tokens", F.lit(0).cast("long"), lambda total, n: total + n)
-    before = running_totals(
-        chunked,
-        order_by,
-        {"doc_ordinal": F.lit(1), "first_id": F.array_size(CHUNKS), "doc_tokens": tokens},
-    )
-    if max_tokens is not None:
+    chunked = chunked.withColumn("_tokens", F.transform(CHUNKS, word_count))
+    budgeted = max_tokens is not None
+    if budgeted or per_document is None:
+        counted, per_document = chunked, F.array_size(CHUNKS)
+    else:
+        counted = texts
+    measures = {"doc_ordinal": F.lit(1), "first_id": per_document}
+    if budgeted:
+        start = F.lit(0).cast("long")
+        measures["doc_tokens"] = F.aggregate("_tokens", start, lambda total, n: total + n)
+    before = running_totals(counted, order_by, measures)
+    if budgeted:
         before = before.where(F.col("doc_tokens") <= max_tokens)
-    rows = (
-        chunked.join(before, order_by)
-        .withColumn("_before", _running(F.col("_tokens")))
-        .withColumn("_chunk", F.explode(F.arrays_zip(
-            F.sequence(F.lit(0), F.array_size(CHUNKS) - 1).alias("idx"),
-            F.col(CHUNKS).alias("text"),
-            F.col("_tokens").alias("tokens"),
-            F.col("_before").alias("before"),
-        )))
-    )
+    columns = {
+        "idx": F.transform(CHUNKS, lambda _, i: i),
+        "text": F.col(CHUNKS),
+        "tokens": F.col("_tokens"),
+    }
+    if budgeted:
+        columns["before"] = _running(F.col("_tokens"))
+    zipped = F.arrays_zip(*[c.alias(n) for n, c in columns.items()])
+    rows = chunked.join(before, order_by).withColumn("_chunk", F.explode(zipped))
+    used = (F.col("doc_tokens") + F.col("_chunk.before")).alias("tokens_before")
     numbered = rows.select(
         (F.col("first_id") + F.col("_chunk.idx")).alias("index_id"),
         "doc_ordinal",
         F.col("_chunk.idx").alias(CHUNK_IDX),
         F.col("_chunk.text").alias(text_col),
         F.col("_chunk.tokens").cast("long").alias("num_tokens"),
-        (F.col("doc_tokens") + F.col("_chunk.before")).alias("tokens_before"),
+        *([used] if budgeted else []),
         *[c for c in chunked.columns if c not in (CHUNKS, "_tokens")],
     )
-    return numbered if max_tokens is None else numbered.where(F.col("tokens_before") <= max_tokens)
+    return numbered.where(F.col("tokens_before") <= max_tokens) if budgeted else numbered
 
 
 def request_batches(chunks: DataFrame, size: int = REQUEST_CHUNKS) -> DataFrame:
@@ -136,7 +143,7 @@ def write_index(index: DataFrame, path: str, partitions: int | None = None) -> N
     Range partitioning by cell and id cuts a cell that holds many vectors into several
     files and lets small cells share a task.
     """
-    parts = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or shuffle_partitions(index.sparkSession)
     (
         index.repartitionByRange(parts, "cell", "index_id")
         .write.mode("overwrite")

@@ -16,6 +16,9 @@ def build_session(app: str = "lexspan", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Document rows are wide: keep the Arrow batches sent to Python small.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+        # Joins of wide rows with narrow ones on a key: hash the narrow side of each
+        # partition where it fits, rather than sort the wide one.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
         "spark.ui.showConsoleProgress": "false",
     }
     settings.update(conf)
@@ -49,6 +52,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Tasks of a shuffle: the session's setting, or every core if that is more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
