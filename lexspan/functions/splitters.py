@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import NON_SPACE, SPACE, trim_text
+from lexspan.functions.text import NON_SPACE, SPACE
 
 # Words whose final full stop does not end a sentence.
 ABBREVIATIONS = (
@@ -33,5 +33,7 @@ def sentence_split(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS)
     """
     words = "|".join(a.replace(".", r"\.") for a in abbreviations)
     kept = rf"(?<!(?:^|[^\p{{L}}\p{{N}}.])(?:{words}|\p{{Lu}})\.)"
-    boundary = rf"(?:(?<=[!?])|(?<=\.){kept}|(?<=[.!?]{CLOSERS}{{1,4}})){SPACE}+"
-    return F.array_remove(F.split(trim_text(text), boundary), "")
+    stop = rf"(?<=[!?])|(?<=\.){kept}|(?<=[.!?]{CLOSERS}{{1,4}})"
+    # Most characters fail the first test, and most blanks the second.
+    boundary = rf"(?={SPACE})(?:\A|(?<=[.!?]|{CLOSERS})(?:{stop})){SPACE}+|{SPACE}++\z"
+    return F.array_remove(F.split(text, boundary), "")

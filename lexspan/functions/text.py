@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 # The Unicode whitespace class, as a regex character-class body.
 WHITESPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
-SPACE = f"[{WHITESPACE}]"
 NON_SPACE = f"[^{WHITESPACE}]"
+# The same class with its ASCII part first and the category looked up only beyond it,
+# which is faster to match.
+SPACE = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85[\x80-\u3000&&\p{Z}]]"
 
 
 def tokens(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions.text import tokens
 from lexspan.operators.arrow import from_matrix
-from lexspan.operators.models import EmbeddingModel
+from lexspan.operators.models import EmbeddingModel, once_per_worker
 
 
 class CallCounter:
@@ -38,13 +38,14 @@ def embed_column(
 ) -> Column:
     """The vector of each text, null for a null text.
 
-    The model is made once per task and sees at most `batch_size` texts per call.
+    The model is made once per Python worker and sees at most `batch_size` texts per call.
     """
+    get_predict = once_per_worker(model)
     calls = counter.calls if counter else None
 
     @F.arrow_udf("array<float>")
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        predict = model.make_predict_fn()
+        predict = get_predict()
         for batch in batches:
             present = batch.is_valid().to_numpy(zero_copy_only=False)
             texts = batch.drop_null().to_numpy(zero_copy_only=False)

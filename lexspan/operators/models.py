@@ -1,17 +1,19 @@
 """Embedding models: a picklable factory of a batch function.
 
-A model needs `dim`, `batch_size` and `make_predict_fn()`, which is called once per
-Python worker and returns a function from an array of texts to a matrix of floats.
+A model needs `dim`, `batch_size` and `make_predict_fn()`, which returns a function from an
+array of texts to a matrix of floats. It is called once per Python worker, not per task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
+from pyspark.ml.model_cache import ModelCache
 
 # The inner batch size of a model call, and of the sharded form.
 BATCH_SIZE = 32
@@ -27,6 +29,20 @@ class EmbeddingModel(Protocol):
     def make_predict_fn(self) -> Predict: ...
 
 
+def once_per_worker(model: EmbeddingModel) -> Callable[[], Predict]:
+    """A function for use in tasks that makes the model on first use in a worker."""
+    key = uuid.uuid4()
+
+    def get() -> Predict:
+        predict = ModelCache.get(key)
+        if predict is None:
+            predict = model.make_predict_fn()
+            ModelCache.add(key, predict)
+        return predict
+
+    return get
+
+
 @dataclass(frozen=True)
 class DummyModel:
     """A vector of ones for every text."""

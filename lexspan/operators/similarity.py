@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lexspan.functions.splitters import sentence_split
 from lexspan.functions.vectors import NORM_FLOOR
 from lexspan.operators.explode import explode_once
-from lexspan.operators.models import EmbeddingModel, Predict
+from lexspan.operators.models import EmbeddingModel, Predict, once_per_worker
 
 # Sentences embedded and held at a time within a task.
 BLOCK = 2048
@@ -86,9 +86,11 @@ def add_similarities(
     sentences); without, n - 1 values.
     """
 
+    get_predict = once_per_worker(model)
+
     @F.arrow_udf("array<double>")
     def similarities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        predict = model.make_predict_fn()
+        predict = get_predict()
         for lists in batches:
             yield _adjacent(lists, predict, model.batch_size, wrap)
 

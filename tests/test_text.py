@@ -87,3 +87,13 @@ def test_vector_functions(one):
     assert pair(vx.l2_squared, [1.0, 2.0], [3.0, 5.0]) == 13.0
     assert pair(vx.l2_squared, [1.0, 2.0], [3.0]) is None
     assert one(vx.dummy_vector(3), [""]) == [[1.0, 1.0, 1.0]]
+
+
+def test_whitespace_class_is_that_of_python(spark):
+    # Every character of the basic plane except surrogates, between two letters.
+    codes = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in codes], "c int, x string")
+    got = rows.select("c", tx.word_count(X).alias("n"), tx.is_blank(F.substring(X, 2, 1)).alias("b")).collect()
+    spaces = {c for c in codes if chr(c).isspace()}
+    assert {r.c for r in got if r.n == 2} == spaces
+    assert {r.c for r in got if r.b} == spaces
