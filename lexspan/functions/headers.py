@@ -69,24 +69,33 @@ LABELLED = "LABEL_LINES"
 INLINE = "INLINE"
 FORM = "FORM"
 
-# One `Label: value` line, and the first numbered paragraph of a body.
+# One `Label: value` line.
 _INLINE_LINE = r"(?m)^([\p{L}][\p{L}()'’ ]{0,60}): (\S.*)$"
-_FIRST_PARAGRAPH = r"(?s)\A(.*?)(?:^|\n)\[1\] .*\z"
+# The start of the first numbered paragraph of a body.
+_FIRST_PARAGRAPH = "\n[1] "
 
 
 def header_layout(text: Column) -> Column:
     """Which of the three header layouts a text opens with; null when none."""
     head = _head(text)
     return (
-        F.when(F.rlike(text, F.lit(rf"\n{END_OF_HEADER}(?:\n|\z)")), F.lit(LABELLED))
+        F.when(_end_of_header(text) > 0, F.lit(LABELLED))
         .when(F.rlike(head, F.lit(_INLINE_LINE)), F.lit(INLINE))
         .when(F.rlike(head, F.lit(_label_line(FORM_LABELS))), F.lit(FORM))
     )
 
 
+def _end_of_header(text: Column) -> Column:
+    """Where the line that ends a label-line header starts, or zero."""
+    line = F.lit(f"\n{END_OF_HEADER}")
+    inside = F.instr(text, F.concat(line, F.lit("\n")))
+    at_end = F.length(text) - F.length(line) + 1
+    return F.when(inside > 0, inside).when(F.endswith(text, line), at_end).otherwise(0)
+
+
 def _head(text: Column) -> Column:
     """The text before paragraph `[1]`; empty when there is no such paragraph."""
-    return F.regexp_extract(text, _FIRST_PARAGRAPH, 1)
+    return F.substring(text, F.lit(1), F.instr(text, F.lit(_FIRST_PARAGRAPH)) - 1)
 
 
 def _label_line(labels: tuple[str, ...]) -> str:
@@ -115,7 +124,7 @@ def header_metadata(text: Column) -> Column:
     `Title`. Texts without a known header give an empty array.
     """
     layout = header_layout(text)
-    block = F.substring_index(text, f"\n{END_OF_HEADER}", 1)
+    block = F.substring(text, F.lit(1), _end_of_header(text) - 1)
     title = F.array(
         F.struct(F.lit("Title").alias("label"), F.substring_index(block, "\n", 1).alias("value"))
     )
@@ -138,13 +147,8 @@ def header_metadata(text: Column) -> Column:
 
 def header_body(text: Column) -> Column:
     """The text after the header block; the whole text when there is none."""
-    after = F.regexp_replace(text, rf"(?s)\A.*?\n{END_OF_HEADER}(?:\n|\z)", "")
-    head = F.length(_head(text))
-    return (
-        F.when(header_layout(text) == LABELLED, after)
-        .when(
-            header_layout(text).isNotNull(),
-            F.regexp_replace(F.substring(text, head + 1, F.length(text)), r"\A\n", ""),
-        )
-        .otherwise(text)
-    )
+    after = _end_of_header(text) + len(END_OF_HEADER) + 2
+    first = F.instr(text, F.lit(_FIRST_PARAGRAPH)) + 1
+    layout = header_layout(text)
+    start = F.when(layout == LABELLED, after).when(layout.isNotNull(), first).otherwise(1)
+    return F.substring(text, start, F.length(text))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def to_matrix(vectors: pa.Array) -> np.ndarray:
+def to_matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of equally long vectors as a matrix of doubles."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
     if not len(vectors):
         return np.zeros((0, 0))
     sizes = pc.list_value_length(vectors)
@@ -31,9 +35,18 @@ def from_matrix(matrix: np.ndarray, kind: pa.DataType, present: np.ndarray | Non
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=mask), values)
 
 
-def to_ids(ids: pa.Array) -> np.ndarray:
+def to_ids(ids: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """An id column as a sortable array."""
     if isinstance(ids, pa.ChunkedArray):
         ids = ids.combine_chunks()
     values = ids.to_numpy(zero_copy_only=False)
     return values.astype(str) if values.dtype == object else values
+
+
+def blocks(batch: pa.RecordBatch | pa.Table, vector_col: str, values: int = 4_000_000) -> Iterator:
+    """Cut a batch so that the vectors of a block have about `values` numbers."""
+    if batch.num_rows:
+        width = pc.list_value_length(batch.column(vector_col).slice(0, 1))[0].as_py() or 1
+        rows = max(values // width, 1)
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)

@@ -49,12 +49,12 @@ def embed_column(
         for batch in batches:
             present = batch.is_valid().to_numpy(zero_copy_only=False)
             texts = batch.drop_null().to_numpy(zero_copy_only=False)
-            found = [np.zeros((0, model.dim), dtype=np.float32)]
+            matrix = np.empty((len(texts), model.dim), dtype=np.float32)
             for lo in range(0, len(texts), model.batch_size):
-                found.append(predict(texts[lo : lo + model.batch_size]))
+                part = slice(lo, lo + model.batch_size)
+                matrix[part] = predict(texts[part])
                 if calls is not None:
                     calls.add(1)
-            matrix = np.vstack(found)
             yield from_matrix(matrix, pa.float32(), None if present.all() else present)
 
     return vectors(text)

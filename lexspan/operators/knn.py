@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexspan.functions.vectors import NORM_FLOOR, cosine, l2_squared
-from lexspan.operators.arrow import to_ids, to_matrix
+from lexspan.operators.arrow import blocks, to_ids, to_matrix
 
 L2 = "l2"
 COSINE = "cosine"
@@ -34,6 +34,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # Rows per block when blocks are joined.
 INDEX_BLOCK = 20_000
 QUERY_BLOCK = 2_000
+# Hits up to this many are looked up by a filter on their ids.
+LOOKUP_ROWS = 10_000
 # Queries scored at a time, and pairs compared exactly at a time, within a task.
 SCORE_ROWS = 256
 EXACT_PAIRS = 65_536
@@ -177,7 +179,7 @@ def small_queries(
 
 def query_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The ids and the matrix of a query table."""
-    return to_ids(table.column("query_id")), to_matrix(table.column("vector").combine_chunks())
+    return to_ids(table.column("query_id")), to_matrix(table.column("vector"))
 
 
 def knn_batch(
@@ -217,7 +219,8 @@ def knn_batch(
         query_ids, matrix = shared.value
         best = _Best(matrix, k, metric)
         for batch in batches:
-            best.add(to_ids(batch.column("index_id")), to_matrix(batch.column("vector")))
+            for part in blocks(batch, "vector"):
+                best.add(to_ids(part.column("index_id")), to_matrix(part.column("vector")))
         yield from best.table(query_ids, out).to_batches()
 
     return _final(vectors.mapInArrow(search, schema), k)
@@ -268,8 +271,8 @@ def block_join(
     def compare(index_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
         query_ids, matrix = query_arrays(query_rows)
         best = _Best(matrix, k, metric)
-        vectors_ = index_rows.column("vector").combine_chunks()
-        best.add(to_ids(index_rows.column("index_id")), to_matrix(vectors_))
+        for part in blocks(index_rows, "vector"):
+            best.add(to_ids(part.column("index_id")), to_matrix(part.column("vector")))
         return best.table(query_ids, out)
 
     block = ["cell", "vb", "qb"]
@@ -291,13 +294,33 @@ def knn_exact(
     return lookup_ranked(hits, index, columns.index_id)
 
 
+def _with_few_hits(
+    hits: DataFrame, table: DataFrame, index_id: str
+) -> tuple[DataFrame, DataFrame]:
+    """The hits under the table's id name, and the part of the table to join them with.
+
+    Hits are few next to the table. Up to `LOOKUP_ROWS` they are fetched once and their
+    ids given to the scan as a filter, so that row groups without a hit are skipped.
+    More than that are joined as they are.
+    """
+    head = hits.limit(LOOKUP_ROWS + 1).toArrow()
+    if head.num_rows > LOOKUP_ROWS:
+        return hits.withColumnRenamed("index_id", index_id), table
+    ids = head.column("index_id").unique().to_pylist()
+    few = hits.sparkSession.createDataFrame(head).to(hits.schema)
+    return (
+        F.broadcast(few.withColumnRenamed("index_id", index_id)),
+        table.where(F.col(index_id).isin(ids)),
+    )
+
+
 def lookup_ranked(hits: DataFrame, table: DataFrame, index_id: str = "index_id") -> DataFrame:
     """The rows of `table` behind the hits, with query, rank and distance."""
-    if index_id != "index_id":
-        hits = hits.withColumnRenamed("index_id", index_id)
-    return hits.join(table, index_id)
+    few, rows = _with_few_hits(hits, table, index_id)
+    return rows.join(few, index_id)
 
 
 def lookup_filter(hits: DataFrame, table: DataFrame, index_id: str = "index_id") -> DataFrame:
     """The rows of `table` that any query hit, without ranks."""
-    return table.join(hits.select(F.col("index_id").alias(index_id)), index_id, "left_semi")
+    few, rows = _with_few_hits(hits.select("index_id"), table, index_id)
+    return rows.join(few, index_id, "left_semi")

@@ -141,11 +141,13 @@ def write_index(index: DataFrame, path: str, partitions: int | None = None) -> N
     """Write an index in cell order, one folder per cell.
 
     Range partitioning by cell and id cuts a cell that holds many vectors into several
-    files and lets small cells share a task.
+    files and lets small cells share a task. The records are written once before, since
+    finding the range bounds reads them twice and a model may be behind them.
     """
     parts = partitions or shuffle_partitions(index.sparkSession)
     (
-        index.repartitionByRange(parts, "cell", "index_id")
+        pin(index, "records")
+        .repartitionByRange(parts, "cell", "index_id")
         .write.mode("overwrite")
         .partitionBy("cell")
         .parquet(path)

@@ -19,6 +19,8 @@ def build_session(app: str = "lexspan", master: str | None = None, **conf: str)
         # Joins of wide rows with narrow ones on a key: hash the narrow side of each
         # partition where it fits, rather than sort the wide one.
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
+        # Let lookups of many ids reach the row-group statistics.
+        "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
         "spark.ui.showConsoleProgress": "false",
     }
     settings.update(conf)
