@@ -11,7 +11,6 @@ from catalog.sql import (
     hash_vectors,
     naive_chunks,
     sentences,
-    vector_text,
     with_,
     words,
 )

@@ -49,7 +49,7 @@ def sentences(name: str, source: str, key: str, text: str) -> str:
     """
     abbreviations = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
     mask = rf"(^|[^\p{{L}}\p{{N}}.])({abbreviations}|\p{{Lu}})\.([{WS}])"
-    closers = r'["”’»)\]}'.replace("’", "’''") + "]"
+    closers = r"""["''”’»)\]}]"""
     trimmed = rf"regexp_replace({text}, '^[{WS}]+|[{WS}]+\z', '', 'g')"
     once = rf"regexp_replace({trimmed}, '{mask}', '\1\2' || chr(1) || '\3', 'g')"
     twice = rf"regexp_replace({once}, '{mask}', '\1\2' || chr(1) || '\3', 'g')"

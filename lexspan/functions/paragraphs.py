@@ -26,6 +26,15 @@ def paragraph_markers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANY_MARKER), F.lit(0))
 
 
+def first_marker(text: Column) -> Column:
+    """The first marker of either kind; empty when there is none."""
+    return F.regexp_extract(text, f"({ANY_MARKER})", 1)
+
+
+def style_of_marker(marker: Column) -> Column:
+    return F.when(marker.contains("["), F.lit(BRACKETED)).when(marker != "", F.lit(SPACED))
+
+
 def paragraph_style(text: Column, prefer_bracketed: bool = False) -> Column:
     """The style of the first marker; null when there is none.
 
@@ -36,10 +45,7 @@ def paragraph_style(text: Column, prefer_bracketed: bool = False) -> Column:
         return F.when(F.rlike(text, F.lit(BRACKETED_MARKER)), F.lit(BRACKETED)).when(
             F.rlike(text, F.lit(SPACE_MARKER)), F.lit(SPACED)
         )
-    first = F.regexp_extract(text, f"({ANY_MARKER})", 1)
-    return F.when(first == "", F.lit(None)).when(
-        first.contains("["), F.lit(BRACKETED)
-    ).otherwise(F.lit(SPACED))
+    return style_of_marker(first_marker(text))
 
 
 def _cut(text: Column, marker: str) -> Column:

@@ -35,5 +35,5 @@ def sentence_split(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS)
     kept = rf"(?<!(?:^|[^\p{{L}}\p{{N}}.])(?:{words}|\p{{Lu}})\.)"
     stop = rf"(?<=[!?])|(?<=\.){kept}|(?<=[.!?]{CLOSERS}{{1,4}})"
     # Most characters fail the first test, and most blanks the second.
-    boundary = rf"(?={SPACE})(?:\A|(?<=[.!?]|{CLOSERS})(?:{stop})){SPACE}+|{SPACE}++\z"
+    boundary = rf"(?={SPACE})(?:(?:\A|(?<=[.!?]|{CLOSERS})(?:{stop})){SPACE}+|{SPACE}++\z)"
     return F.array_remove(F.split(text, boundary), "")

@@ -50,7 +50,12 @@ class NaiveChunker:
         pieces = F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
         steps = F.col(f"{into}_steps")
 
-        def glue(_: Column, i: Column) -> Column:
+        def glue(piece: Column, i: Column) -> Column:
+            if reach == 1:
+                return piece
+            if reach == 2:
+                ahead = F.substring(F.get(steps, i + 1), 1, self.overlap)
+                return F.concat(piece, F.coalesce(ahead, F.lit("")))
             window = F.array_join(F.slice(steps, i + 1, F.lit(reach)), "")
             return F.substring(window, 1, self.max_chars)
 

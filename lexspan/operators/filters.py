@@ -15,10 +15,11 @@ from lexspan.schema import AUDIT_COLUMNS, TEXT_EN, TEXT_FR, TEXTS
 def has_text(text: Column, mode: str = "blank") -> Column:
     """Keep test: `blank` wants a non-whitespace character, `empty` any character,
     `null` any value."""
+    # Never null, so that it can be negated, and simple enough for the scan to use.
     if mode == "blank":
-        return F.coalesce(~is_blank(text), F.lit(False))
+        return text.isNotNull() & ~is_blank(text)
     if mode == "empty":
-        return F.coalesce(text != "", F.lit(False))
+        return text.isNotNull() & (text != "")
     if mode == "null":
         return text.isNotNull()
     raise ValueError(f"mode must be blank, empty or null, not {mode!r}")

@@ -148,8 +148,8 @@ class _Best:
 
 def _final(partial: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy("distance", "index_id")
-    ranked = partial.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.where(F.col("rank") < k)
+    placed = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return placed.withColumn("rank", F.col("rank") - 1)
 
 
 def _hit_schema(index: DataFrame, queries: DataFrame, columns: Columns) -> T.StructType:

@@ -10,6 +10,7 @@ import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -71,25 +72,23 @@ class HashModel:
 
     def make_predict_fn(self) -> Predict:
         dim = self.dim
-        buckets: dict[str, int] = {}
 
-        def bucket(word: str) -> int:
-            if len(buckets) > 1_000_000:
-                buckets.clear()
-            return buckets.setdefault(
-                word, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
-            )
+        class Buckets(dict):
+            """Word to bucket, filled as words turn up."""
+
+            def __missing__(self, word: str) -> int:
+                if len(self) > 1_000_000:
+                    self.clear()
+                self[word] = bucket = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+                return bucket
+
+        lookup = Buckets().__getitem__
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            hits, sizes = [], []
-            for text in texts:
-                words = text.split()
-                sizes.append(len(words))
-                for word in words:
-                    found = buckets.get(word)
-                    hits.append(bucket(word) if found is None else found)
-            rows = np.repeat(np.arange(len(sizes)), sizes)
-            cells = rows * dim + np.asarray(hits, dtype=np.int64)
+            words = [text.split() for text in texts]
+            sizes = [len(w) for w in words]
+            hits = np.fromiter(map(lookup, chain.from_iterable(words)), np.int64, sum(sizes))
+            cells = np.repeat(np.arange(len(sizes)), sizes) * dim + hits
             counts = np.bincount(cells, minlength=len(sizes) * dim)
             return counts.reshape(len(sizes), dim).astype(np.float32)
 

@@ -13,6 +13,7 @@ from lexspan.functions.vectors import check_dimension, norm
 from lexspan.operators.ann import assign_cells
 from lexspan.operators.chunking import CHUNKS, Chunker, NaiveChunker
 from lexspan.operators.embedding import embed
+from lexspan.operators.explode import explode_once
 from lexspan.operators.filters import drop_empty_text, filter_datasets
 from lexspan.operators.models import EmbeddingModel
 from lexspan.operators.ordinals import running_totals
@@ -57,39 +58,41 @@ def numbered_chunks(
     if per_document is None:
         # Counting chunks may take a model, which should run once.
         chunked = pin(chunked, "chunked")
+    metadata = [c for c in chunked.columns if c != CHUNKS]
+    index_id = (F.col("first_id") + F.col(CHUNK_IDX)).alias("index_id")
+    if max_tokens is None:
+        counted = texts if per_document is not None else chunked
+        chunk_count = per_document if per_document is not None else F.array_size(CHUNKS)
+        before = running_totals(
+            counted, order_by, {"doc_ordinal": F.lit(1), "first_id": chunk_count}
+        )
+        rows = explode_once(chunked.join(before, order_by), CHUNKS, CHUNK_IDX, text_col)
+        tokens = word_count(F.col(text_col)).cast("long").alias("num_tokens")
+        return rows.select(index_id, "doc_ordinal", CHUNK_IDX, text_col, tokens, *metadata)
+
+    spent = F.aggregate("_tokens", F.lit(0).cast("long"), lambda total, n: total + n)
     chunked = chunked.withColumn("_tokens", F.transform(CHUNKS, word_count))
-    budgeted = max_tokens is not None
-    if budgeted or per_document is None:
-        counted, per_document = chunked, F.array_size(CHUNKS)
-    else:
-        counted = texts
-    measures = {"doc_ordinal": F.lit(1), "first_id": per_document}
-    if budgeted:
-        start = F.lit(0).cast("long")
-        measures["doc_tokens"] = F.aggregate("_tokens", start, lambda total, n: total + n)
-    before = running_totals(counted, order_by, measures)
-    if budgeted:
-        before = before.where(F.col("doc_tokens") <= max_tokens)
-    columns = {
-        "idx": F.transform(CHUNKS, lambda _, i: i),
-        "text": F.col(CHUNKS),
-        "tokens": F.col("_tokens"),
-    }
-    if budgeted:
-        columns["before"] = _running(F.col("_tokens"))
-    zipped = F.arrays_zip(*[c.alias(n) for n, c in columns.items()])
-    rows = chunked.join(before, order_by).withColumn("_chunk", F.explode(zipped))
-    used = (F.col("doc_tokens") + F.col("_chunk.before")).alias("tokens_before")
-    numbered = rows.select(
-        (F.col("first_id") + F.col("_chunk.idx")).alias("index_id"),
+    before = running_totals(
+        chunked,
+        order_by,
+        {"doc_ordinal": F.lit(1), "first_id": F.array_size(CHUNKS), "doc_tokens": spent},
+    ).where(F.col("doc_tokens") <= max_tokens)
+    zipped = F.arrays_zip(
+        F.col(CHUNKS).alias("text"),
+        F.col("_tokens").alias("tokens"),
+        _running(F.col("_tokens")).alias("before"),
+    )
+    rows = chunked.join(before, order_by).withColumn("_zipped", zipped).drop(CHUNKS, "_tokens")
+    numbered = explode_once(rows, "_zipped", CHUNK_IDX, "_chunk").select(
+        index_id,
         "doc_ordinal",
-        F.col("_chunk.idx").alias(CHUNK_IDX),
+        CHUNK_IDX,
         F.col("_chunk.text").alias(text_col),
         F.col("_chunk.tokens").cast("long").alias("num_tokens"),
-        *([used] if budgeted else []),
-        *[c for c in chunked.columns if c not in (CHUNKS, "_tokens")],
+        (F.col("doc_tokens") + F.col("_chunk.before")).alias("tokens_before"),
+        *metadata,
     )
-    return numbered.where(F.col("tokens_before") <= max_tokens) if budgeted else numbered
+    return numbered.where(F.col("tokens_before") <= max_tokens)
 
 
 def request_batches(chunks: DataFrame, size: int = REQUEST_CHUNKS) -> DataFrame:

@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.headers import header_body, header_metadata
-from lexspan.functions.paragraphs import NO_MARKERS, paragraph_markers, paragraph_split, paragraph_style
+from lexspan.functions.paragraphs import (
+    NO_MARKERS,
+    first_marker,
+    paragraph_markers,
+    paragraph_split,
+    paragraph_style,
+    style_of_marker,
+)
 from lexspan.operators.filters import drop_empty_text
 from lexspan.schema import TEXT_EN
 
@@ -25,8 +32,11 @@ def styled(
     """
     texts = drop_empty_text(df, text_col, "empty")
     if prefer_bracketed:
-        texts = texts.withColumn(text_col, header_body(F.col(text_col)))
-    return texts.withColumn("style", paragraph_style(F.col(text_col), prefer_bracketed))
+        bodies = texts.withColumn(text_col, header_body(F.col(text_col)))
+        return bodies.withColumn("style", paragraph_style(F.col(text_col), True))
+    # The marker has a column of its own so that it is searched for once.
+    marked = texts.withColumn("_marker", first_marker(F.col(text_col)))
+    return marked.withColumn("style", style_of_marker(F.col("_marker"))).drop("_marker")
 
 
 def paragraph_errors(df: DataFrame, text_col: str = TEXT_EN) -> DataFrame:

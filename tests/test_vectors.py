@@ -88,6 +88,17 @@ def test_one_query_with_lookup(spark):
     assert {r.index_id for r in kept.collect()} == {r.index_id for r in hits.collect()}
 
 
+def test_many_hits_are_looked_up_by_a_join(spark, monkeypatch):
+    index = frame(spark, VECTORS).withColumn("name", F.concat(F.lit("n"), "index_id"))
+    hits = knn.knn_batch(index, frame(spark, QUERIES, "query_id"), 4).persist()
+    few = sorted(map(str, knn.lookup_ranked(hits, index).collect()))
+    kept = sorted(map(str, knn.lookup_filter(hits, index).collect()))
+    monkeypatch.setattr(knn, "LOOKUP_ROWS", 10)
+    assert sorted(map(str, knn.lookup_ranked(hits, index).collect())) == few
+    assert sorted(map(str, knn.lookup_filter(hits, index).collect())) == kept
+    hits.unpersist()
+
+
 def test_vectors_of_unequal_length_are_refused(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "index_id int, embedding array<float>")
     with pytest.raises(PythonException, match="one length"):
