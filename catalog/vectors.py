@@ -288,6 +288,20 @@ def knn_approx(spark: SparkSession, sf: str) -> DataFrame:
     return ann.recall(near, knn.knn_batch(index, asked))
 
 
+@query(
+    "knn_approx_all_cells",
+    with_(INDEX_SQL, QUESTIONS_SQL, nearest("hits", "asked_vec"))
+    + "SELECT query_id, index_id, round(distance, 6) AS distance, rank FROM hits",
+)
+def knn_approx_all_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The cell search over every cell, which must equal the exact one."""
+    index = pin(chunk_index(spark, sf).select("index_id", "embedding"), "vectors")
+    centres = ann.train_centres(index, cells=32)
+    asked = embed_questions(questions(spark, sf), MODEL)
+    celled = ann.assign_cells(index, centres)
+    return _hit_columns(ann.knn_approx(celled, asked, centres, nprobe=len(centres)))
+
+
 @query(
     "embed_query",
     with_(QUESTIONS_SQL)

@@ -16,6 +16,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.functions.folds import scan
 from lexspan.functions.splitters import sentence_split
 from lexspan.operators.explode import explode_once
 from lexspan.operators.models import EmbeddingModel, HashModel
@@ -99,24 +100,22 @@ class TopicChunker:
 
     def _ends(self, sentences: Column, sims: Column) -> Column:
         """Position after the last sentence of each chunk, by a fold over sentences."""
-        state = F.struct(
-            F.lit(0).alias("pos"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("ends")
-        )
-        rows = F.zip_with(
-            sentences, sims, lambda s, sim: F.struct(F.length(s).alias("len"), sim.alias("sim"))
-        )
 
-        def step(acc: Column, row: Column) -> Column:
+        def zipped(some: Column, their_sims: Column) -> Column:
+            return F.zip_with(
+                some,
+                their_sims,
+                lambda s, sim: F.struct(F.length(s).alias("len"), sim.alias("sim")),
+            )
+
+        def step(acc: Column, row: Column) -> tuple[dict[str, Column], Column, Column]:
             pos, size = acc["pos"] + 1, acc["size"] + row["len"]
             full = (row["sim"] < self.threshold) | (size >= self.max_chars)
             close = full | (pos == F.array_size(sentences))
-            return F.struct(
-                pos.alias("pos"),
-                F.when(close, F.lit(0)).otherwise(size).alias("size"),
-                F.when(close, F.array_append(acc["ends"], pos)).otherwise(acc["ends"]).alias("ends"),
-            )
+            return {"pos": pos, "size": F.when(close, F.lit(0)).otherwise(size)}, pos, close
 
-        return F.aggregate(rows, state, step, lambda acc: acc["ends"])
+        start = {"pos": F.lit(0), "size": F.lit(0)}
+        return scan([sentences, sims], start, step, "int", zipped)
 
 
 def _join_ranges(parts: Column, ends: Column) -> Column:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.functions.folds import scan
 from lexspan.functions.text import document_key, word_count
 from lexspan.functions.vectors import check_dimension, norm
 from lexspan.operators.ann import assign_cells
@@ -27,15 +28,11 @@ REQUEST_CHUNKS = 800
 
 def _running(values: Column) -> Column:
     """The sum before each element of an array."""
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("seen"))
-    return F.aggregate(
-        values,
-        start,
-        lambda acc, v: F.struct(
-            (acc["sum"] + v).alias("sum"), F.array_append(acc["seen"], acc["sum"]).alias("seen")
-        ),
-        lambda acc: acc["seen"],
-    )
+
+    def step(acc: Column, value: Column) -> tuple[dict[str, Column], Column, Column]:
+        return {"sum": acc["sum"] + value}, acc["sum"], F.lit(True)
+
+    return scan([values], {"sum": F.lit(0).cast("long")}, step, "long")
 
 
 def numbered_chunks(
@@ -53,27 +50,31 @@ def numbered_chunks(
     """
     chunker = chunker or NaiveChunker()
     texts = drop_empty_text(documents, text_col, "empty")
-    chunked = chunker.add_chunks(texts, text_col).drop(text_col)
     per_document = chunker.count(F.col(text_col))
     if per_document is None:
         # Counting chunks may take a model, which should run once.
-        chunked = pin(chunked, "chunked")
-    metadata = [c for c in chunked.columns if c != CHUNKS]
+        texts = pin(chunker.add_chunks(texts, text_col).drop(text_col), "chunked")
+
+    def with_chunks(df: DataFrame) -> DataFrame:
+        """Texts are joined with their totals before they are cut, where that is cheap."""
+        return df if per_document is None else chunker.add_chunks(df, text_col).drop(text_col)
+
+    metadata = [c for c in texts.columns if c not in (CHUNKS, text_col)]
     index_id = (F.col("first_id") + F.col(CHUNK_IDX)).alias("index_id")
     if max_tokens is None:
-        counted = texts if per_document is not None else chunked
-        chunk_count = per_document if per_document is not None else F.array_size(CHUNKS)
-        before = running_totals(
-            counted, order_by, {"doc_ordinal": F.lit(1), "first_id": chunk_count}
-        )
-        rows = explode_once(chunked.join(before, order_by), CHUNKS, CHUNK_IDX, text_col)
+        chunk_count = F.array_size(CHUNKS) if per_document is None else per_document
+        before = running_totals(texts, order_by, {"doc_ordinal": F.lit(1), "first_id": chunk_count})
+        joined = with_chunks(texts.join(before, order_by))
+        rows = explode_once(joined, CHUNKS, CHUNK_IDX, text_col)
         tokens = word_count(F.col(text_col)).cast("long").alias("num_tokens")
         return rows.select(index_id, "doc_ordinal", CHUNK_IDX, text_col, tokens, *metadata)
 
+    def with_tokens(df: DataFrame) -> DataFrame:
+        return with_chunks(df).withColumn("_tokens", F.transform(CHUNKS, word_count))
+
     spent = F.aggregate("_tokens", F.lit(0).cast("long"), lambda total, n: total + n)
-    chunked = chunked.withColumn("_tokens", F.transform(CHUNKS, word_count))
     before = running_totals(
-        chunked,
+        with_tokens(texts),
         order_by,
         {"doc_ordinal": F.lit(1), "first_id": F.array_size(CHUNKS), "doc_tokens": spent},
     ).where(F.col("doc_tokens") <= max_tokens)
@@ -82,7 +83,8 @@ def numbered_chunks(
         F.col("_tokens").alias("tokens"),
         _running(F.col("_tokens")).alias("before"),
     )
-    rows = chunked.join(before, order_by).withColumn("_zipped", zipped).drop(CHUNKS, "_tokens")
+    rows = with_tokens(texts.join(before, order_by)).withColumn("_zipped", zipped)
+    rows = rows.drop(CHUNKS, "_tokens")
     numbered = explode_once(rows, "_zipped", CHUNK_IDX, "_chunk").select(
         index_id,
         "doc_ordinal",
