@@ -1,4 +1,4 @@
-"""Ordered folds over an array that give out values on the way."""
+"""Ordered folds over arrays that give out values on the way."""
 
 from __future__ import annotations
 
@@ -15,40 +15,37 @@ Step = Callable[[Column, Column], tuple[dict[str, Column], Column, Column]]
 
 
 def scan(
-    arrays: list[Column],
+    size: Column,
+    value_at: Callable[[Column], Column],
     start: dict[str, Column],
     step: Step,
     out_type: str,
-    zipped: Callable[..., Column] = lambda array: array,
 ) -> Column:
-    """Fold arrays of one length in order and collect what `step` gives out.
+    """Fold the values at positions 0 to `size - 1` and collect what `step` gives out.
 
-    `zipped` makes one array of values from a block of each array; `step(state, value)`
-    returns the next state, the value to give out, and whether to. The arrays should be
-    plain columns, since an expression would be computed again for every block.
+    `step(state, value)` returns the next state, the value to give out, and whether to.
+    `value_at` should pick from plain columns: an expression would be computed again for
+    every value.
     """
 
     def state(fields: dict[str, Column], out: Column) -> Column:
         return F.struct(*[c.alias(n) for n, c in fields.items()], out.alias("out"))
 
-    def advance(acc: Column, value: Column) -> Column:
-        fields, given, when = step(acc, value)
+    def advance(acc: Column, i: Column) -> Column:
+        fields, given, when = step(acc, value_at(i))
         return state(fields, F.when(when, F.array_append(acc["out"], given)).otherwise(acc["out"]))
 
-    def block_at(i: Column) -> Column:
-        return zipped(*[F.slice(a, i * BLOCK + 1, F.lit(BLOCK)) for a in arrays])
-
-    def advance_block(acc: Column, i: Column) -> Column:
+    def advance_block(acc: Column, first: Column) -> Column:
         last = F.element_at(acc, -1)
         opening = state({name: last[name] for name in start}, empty)
-        return F.array_append(acc, F.aggregate(block_at(i), opening, advance))
+        places = F.sequence(first, F.least(first + (BLOCK - 1), size - 1))
+        return F.array_append(acc, F.aggregate(places, opening, advance))
 
     empty = F.array().cast(f"array<{out_type}>")
-    # An empty array counts as one empty block.
-    blocks = F.sequence(F.lit(0), ((F.array_size(arrays[0]) - 1) / BLOCK).cast("int"))
-    return F.aggregate(
-        blocks,
+    folded = F.aggregate(
+        F.sequence(F.lit(0), size - 1, F.lit(BLOCK)),
         F.array(state(start, empty)),
         advance_block,
         lambda acc: F.flatten(F.transform(acc, lambda s: s["out"])),
     )
+    return F.when(size > 0, folded).otherwise(empty)

@@ -100,22 +100,15 @@ class TopicChunker:
 
     def _ends(self, sentences: Column, sims: Column) -> Column:
         """Position after the last sentence of each chunk, by a fold over sentences."""
+        size = F.array_size(sentences)
 
-        def zipped(some: Column, their_sims: Column) -> Column:
-            return F.zip_with(
-                some,
-                their_sims,
-                lambda s, sim: F.struct(F.length(s).alias("len"), sim.alias("sim")),
-            )
-
-        def step(acc: Column, row: Column) -> tuple[dict[str, Column], Column, Column]:
-            pos, size = acc["pos"] + 1, acc["size"] + row["len"]
-            full = (row["sim"] < self.threshold) | (size >= self.max_chars)
-            close = full | (pos == F.array_size(sentences))
-            return {"pos": pos, "size": F.when(close, F.lit(0)).otherwise(size)}, pos, close
-
-        start = {"pos": F.lit(0), "size": F.lit(0)}
-        return scan([sentences, sims], start, step, "int", zipped)
+        def step(acc: Column, i: Column) -> tuple[dict[str, Column], Column, Column]:
+            chars = acc["chars"] + F.length(F.get(sentences, i))
+            full = (F.get(sims, i) < self.threshold) | (chars >= self.max_chars)
+            close = full | (i + 1 == size)
+            return {"chars": F.when(close, F.lit(0)).otherwise(chars)}, i + 1, close
+
+        return scan(size, lambda i: i, {"chars": F.lit(0)}, step, "int")
 
 
 def _join_ranges(parts: Column, ends: Column) -> Column:

@@ -32,7 +32,8 @@ def _running(values: Column) -> Column:
     def step(acc: Column, value: Column) -> tuple[dict[str, Column], Column, Column]:
         return {"sum": acc["sum"] + value}, acc["sum"], F.lit(True)
 
-    return scan([values], {"sum": F.lit(0).cast("long")}, step, "long")
+    start = {"sum": F.lit(0).cast("long")}
+    return scan(F.array_size(values), lambda i: F.get(values, i), start, step, "long")
 
 
 def numbered_chunks(
