@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import query
@@ -27,7 +27,8 @@ from lexspan.operators.similarity import adjacent_similarity as adjacent_sims
 from lexspan.operators.similarity import corpus_similarities as all_sims
 from lexspan.plans import parsing
 
-LONG_IDX = F.col("chunk_idx").cast("long").alias("chunk_idx")
+def _long_idx() -> Column:
+    return F.col("chunk_idx").cast("long").alias("chunk_idx")
 
 
 @query(
@@ -37,7 +38,7 @@ LONG_IDX = F.col("chunk_idx").cast("long").alias("chunk_idx")
 )
 def naive_chunk(spark: SparkSession, sf: str) -> DataFrame:
     d = wide_documents(spark, sf).select("doc_id", "text")
-    return chunk(d, NaiveChunker()).select("doc_id", LONG_IDX, "unofficial_text")
+    return chunk(d, NaiveChunker()).select("doc_id", _long_idx(), "unofficial_text")
 
 
 _SENTENCES = sentences("s", "documents", "doc_id", "text")
@@ -68,7 +69,7 @@ def topic_chunk(spark: SparkSession, sf: str) -> DataFrame:
     # Hashed word counts of short sentences are less alike than model vectors, hence
     # the lower threshold.
     d = wide_documents(spark, sf).select("doc_id", "text")
-    return chunk(d, TopicChunker(MODEL, threshold=0.2)).select("doc_id", LONG_IDX, "unofficial_text")
+    return chunk(d, TopicChunker(MODEL, threshold=0.2)).select("doc_id", _long_idx(), "unofficial_text")
 
 
 @query(
@@ -87,7 +88,7 @@ def topic_chunk(spark: SparkSession, sf: str) -> DataFrame:
 def batch_chunk(spark: SparkSession, sf: str) -> DataFrame:
     columns = ("doc_id", "citation_en", "unofficial_text_en", "unofficial_text_fr")
     bodies = unpivot_languages(corpus(spark, sf, wide=True).select(*columns), en_only=False)
-    return chunk(bodies, NaiveChunker()).withColumn("chunk_idx", LONG_IDX)
+    return chunk(bodies, NaiveChunker()).withColumn("chunk_idx", _long_idx())
 
 
 @query(
@@ -100,7 +101,7 @@ def attach_metadata(spark: SparkSession, sf: str) -> DataFrame:
     url = F.concat(F.lit("https://example.org/"), "doc_id")
     chunks = chunk(wide_documents(spark, sf).withColumn("url_en", url), NaiveChunker())
     return chunks.withColumns(
-        {"chunk_idx": LONG_IDX, "chunk_md5": F.md5("unofficial_text")}
+        {"chunk_idx": _long_idx(), "chunk_md5": F.md5("unofficial_text")}
     ).drop("unofficial_text")
 
 

@@ -8,23 +8,20 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from lexspan.session import build_session  # noqa: E402
 
 
-# Columns are built while test modules load, which needs a session.
-_session = build_session(
-    "tests",
-    "local[8]",
-    **{
-        "spark.sql.shuffle.partitions": "8",
-        "spark.ui.enabled": "false",
-        "spark.driver.memory": "8g",
-    },
-)
-_session.sparkContext.setLogLevel("ERROR")
-
-
 @pytest.fixture(scope="session")
 def spark():
-    yield _session
-    _session.stop()
+    session = build_session(
+        "tests",
+        "local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "8g",
+        },
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
 
 
 @pytest.fixture

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from catalog.registry import QUERIES, SQL
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -14,7 +15,6 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="no test data here")
 

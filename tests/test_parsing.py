@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from lexspan.functions import headers, paragraphs
 from lexspan.plans import parsing
 
-X = F.col("x")
 MARKER = re.compile(r"(\s\[\d+\][ ])|(\s\d+[ ])")
 
 LABELLED = """Roe v. Smith Inc.
@@ -63,7 +62,7 @@ TEXTS = [
 
 def test_markers_are_those_of_a_left_to_right_search(one):
     want = [[m.group() for m in MARKER.finditer(t)] for t in TEXTS]
-    assert one(paragraphs.paragraph_markers(X), TEXTS) == want
+    assert one(paragraphs.paragraph_markers(F.col("x")), TEXTS) == want
 
 
 def test_style_is_that_of_the_first_marker(one):
@@ -71,14 +70,14 @@ def test_style_is_that_of_the_first_marker(one):
         first = MARKER.search(text)
         return None if first is None else "BRACKETED" if first.group(1) else "SPACE"
 
-    assert one(paragraphs.paragraph_style(X), TEXTS) == [style(t) for t in TEXTS]
-    preferred = one(paragraphs.paragraph_style(X, prefer_bracketed=True), TEXTS)
+    assert one(paragraphs.paragraph_style(F.col("x")), TEXTS) == [style(t) for t in TEXTS]
+    preferred = one(paragraphs.paragraph_style(F.col("x"), prefer_bracketed=True), TEXTS)
     assert preferred[0] == preferred[8] == "BRACKETED" and preferred[6] == "SPACE"
 
 
 def test_pieces_rebuild_the_text(one):
     for style, pattern in (("BRACKETED", r"\s\[(\d+)\][ ]"), ("SPACE", r"\s(\d+)[ ]")):
-        got = one(paragraphs.paragraph_split(X, F.lit(style)), TEXTS)
+        got = one(paragraphs.paragraph_split(F.col("x"), F.lit(style)), TEXTS)
         for text, pieces in zip(TEXTS, got):
             cut = re.split(pattern, text)
             want = [(None, cut[0])] + list(zip(cut[1::2], cut[2::2]))
@@ -89,13 +88,13 @@ def test_pieces_rebuild_the_text(one):
 
 def test_split_of_a_very_long_text(one):
     text = "start" + "".join(f"\n[{i}] paragraph 7 of the text. " * 3 for i in range(60_000))
-    [pieces] = one(paragraphs.paragraph_split(X, F.lit("BRACKETED")), [text])
+    [pieces] = one(paragraphs.paragraph_split(F.col("x"), F.lit("BRACKETED")), [text])
     assert len(pieces) == 180_001
 
 
 def test_layouts_and_entries(one):
-    assert one(headers.header_layout(X), TEXTS[:5]) == ["LABEL_LINES", "INLINE", "FORM", None, None]
-    got = one(headers.header_metadata(X), TEXTS[:5])
+    assert one(headers.header_layout(F.col("x")), TEXTS[:5]) == ["LABEL_LINES", "INLINE", "FORM", None, None]
+    got = one(headers.header_metadata(F.col("x")), TEXTS[:5])
     assert [tuple(e) for e in got[0]] == [
         ("Title", "Roe v. Smith Inc."),
         ("Collection", "Decisions of the Court"),
@@ -117,7 +116,7 @@ def test_layouts_and_entries(one):
 
 
 def test_bodies(one):
-    got = one(headers.header_body(X), TEXTS[:5])
+    got = one(headers.header_body(F.col("x")), TEXTS[:5])
     assert got[0].startswith("CITATION: Roe")
     assert got[1].startswith("[1] MEMBER") and got[2].startswith("[1] The Division")
     assert got[3] == "" and got[4] == "no markers"
