@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from lexspan.llm.packing import op10_packing
+from lexspan.llm.quality import op2_quality_rules
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op10_packing": op10_packing,
 }
 
