@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from lexspan.llm.packing import op10_packing
 from lexspan.llm.quality import op2_quality_rules
+from lexspan.llm.secrets import op1_secret_scan
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op10_packing": op10_packing,
 }
