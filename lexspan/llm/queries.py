@@ -5,10 +5,12 @@ from __future__ import annotations
 from lexspan.llm.packing import op10_packing
 from lexspan.llm.quality import op2_quality_rules
 from lexspan.llm.secrets import op1_secret_scan
+from lexspan.llm.urls import op9_url_filter
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
 }
 
