@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexspan.llm.decontam import op7_benchmark_leaks
+from lexspan.llm.neardup import op4_near_duplicates
 from lexspan.llm.packing import op10_packing
 from lexspan.llm.quality import op2_quality_rules
 from lexspan.llm.secrets import op1_secret_scan
@@ -11,6 +12,7 @@ from lexspan.llm.urls import op9_url_filter
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_benchmark_leaks": op7_benchmark_leaks,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.llm.joins import salted_join
 from lexspan.session import pin
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,12 +80,6 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _salted(left: DataFrame, right: DataFrame, keys: list[str], salts: int) -> DataFrame:
-    """Left join on `keys`, unique in `right`, where a key may hold much of `left`."""
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(spread, [*keys, "_salt"], "left")
-
-
 def add_templates(pages: DataFrame, how: Templates) -> DataFrame:
     """Add `template` to rows that have host, path and `_salt`."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
@@ -98,13 +93,13 @@ def add_templates(pages: DataFrame, how: Templates) -> DataFrame:
         own = (F.col("n") >= how.own_pages) & (100 * F.col("n") >= how.own_percent * F.col("all"))
         salted = counts.withColumn("_salt", F.pmod(F.xxhash64("_segment"), F.lit(how.salts)).cast("int"))
         literal = (
-            _salted(salted, nodes, ["host", "template"], how.salts)
+            salted_join(salted, nodes, ["host", "template"], how.salts)
             .filter(~varies | own)
             .select(*keys, F.lit(True).alias("literal"))
         )
         step = F.when(F.col("literal"), F.col("_segment")).otherwise("*")
         rows = (
-            _salted(rows, literal, keys, how.salts)
+            salted_join(rows, literal, keys, how.salts)
             .withColumn(
                 "template",
                 F.when(F.col("_segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)),
@@ -134,7 +129,7 @@ def judge_templates(rows: DataFrame, how: Templates) -> DataFrame:
     share = F.col("s_bad") / F.greatest(F.col("s_labelled"), F.lit(1))
     spread = F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
     differs = F.abs(F.col("n_bad") / F.greatest(F.col("labelled"), F.lit(1)) - share) > how.z * spread + 1e-12
-    placed = _salted(salted, shapes, ["host", "shape"], how.salts).withColumn(
+    placed = salted_join(salted, shapes, ["host", "shape"], how.salts).withColumn(
         "branch", F.when((F.col("labelled") > 0) & differs, F.col("template")).otherwise(F.col("shape"))
     )
     branches = placed.groupBy("host", "branch").agg(
@@ -145,7 +140,7 @@ def judge_templates(rows: DataFrame, how: Templates) -> DataFrame:
     )
     branches = branches.withColumn("prior_share", F.coalesce(total.scalar(), F.lit(0.5)))
     branches = branches.withColumn("purity", purity).withColumn("rejected", F.col("purity") < how.threshold)
-    return _salted(
+    return salted_join(
         placed.select("host", "template", "branch", "_salt"),
         branches.select("host", "branch", "purity", "rejected"),
         ["host", "branch"],
@@ -172,7 +167,7 @@ def filter_urls(pages: DataFrame, rules=RULES, how: Templates | None = None) ->
     known = judge_templates(rows, how)
     ruled = matching_rule(F.col("host"), F.col("path"), rules)
     return (
-        _salted(rows, known, ["host", "template"], how.salts)
+        salted_join(rows, known, ["host", "template"], how.salts)
         .withColumn("_ruled", ruled)
         .select(
             "page_id",
