@@ -18,6 +18,7 @@ import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from lexspan.llm.arrow import as_bytes, sliced
 
 # Words whose ids a worker remembers. Only time depends on it.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
@@ -127,16 +128,22 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._lowers = self._encode([b"Ab", b"ab"])
-        self._lowers = self._lowers[0] == self._lowers[1]
-        self._marks = dict(zip((b"", b".", b","), [[], *self._encode([b".", b","])], strict=True))
-        self._marks_split = self._lowers and self._encode([b"ab."])[0] == [
-            *self._encode([b"ab"])[0],
-            *self._marks[b"."],
-        ]
+        # For words of a-z only the merges count: without the rules before them it is faster.
+        self._merges = Tokenizer.from_file(path)
+        self._merges.normalizer = normalizers.Sequence([])
+        self._merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        tried = [b"ab", b"Tokens", b"tokens", b"pneumonoultramicroscopic", b".", b",", b"ab.", b"ab,"]
+        ids = dict(zip(tried, self._encode(tried), strict=True))
+        plain = [w for w in tried if w.isalpha() and w.islower()]
+        self._marks = {m: ids[m][0] for m in (b".", b",")}
+        self._shares = (
+            ids[b"Tokens"] == ids[b"tokens"]
+            and all(ids[b"ab" + m] == [*ids[b"ab"], i] for m, i in self._marks.items())
+            and [ids[w] for w in plain] == self._encode_plain(plain)
+        )
         self.clear()
 
     def clear(self) -> None:
@@ -149,16 +156,15 @@ class WordIds:
                 return place
 
         self._waiting, self._places = waiting, Places()
-        self._stems: dict[bytes, list[int]] = {}
         self._pool, self._used = np.empty(1 << 16, dtype=np.uint32), 0
         self._starts = np.zeros(1 << 14, dtype=np.int64)
-        self._sizes = np.zeros(1 << 14, dtype=np.int64)
+        self._sizes = np.zeros(1 << 14, dtype=np.int32)
         self._known = 0
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in words]
         blocks = [[w.decode() for w in words[i : i + 256]] for i in range(0, len(words), 256)]
-        found = self._tokenizer.encode_batch_fast(blocks, is_pretokenized=True, add_special_tokens=False)
+        found = self._tokenizer.encode_batch(blocks, is_pretokenized=True, add_special_tokens=False)
         for b, block in enumerate(found):
             if None in block.word_ids:  # special tokens belong to no word
                 alone = self._tokenizer.encode_batch_fast(blocks[b], add_special_tokens=False)
@@ -168,38 +174,71 @@ class WordIds:
                 out[b * 256 + word].append(i)
         return out
 
+    def _encode_plain(self, words: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in words]
+        blocks = [[w.decode() for w in words[i : i + 256]] for i in range(0, len(words), 256)]
+        found = self._merges.encode_batch(blocks, is_pretokenized=True, add_special_tokens=False)
+        for b, block in enumerate(found):
+            for i, word in zip(block.ids, block.word_ids, strict=True):
+                out[b * 256 + word].append(i)
+        return out
+
+    def _append(self, flat: np.ndarray) -> int:
+        """Put ids into the pool; where they start."""
+        start, end = self._used, self._used + len(flat)
+        if end > len(self._pool):
+            self._pool = np.resize(self._pool, max(end, 2 * len(self._pool)))
+        self._pool[start:end] = flat
+        self._used = end
+        return start
+
     def _learn(self) -> None:
         """Give ids to the words met since the last call.
 
-        A plain ASCII word with a stop or comma behind it shares the ids of the word in lower
-        case, where the tokenizer lower-cases and splits off marks.
+        Where the tokenizer lower-cases and splits off marks, a plain ASCII word with a stop or
+        comma behind it has the ids of the word in lower case, and that of the mark.
         """
-        if not self._waiting:
-            return
-        stems: list[tuple[bytes, bytes]] = []
-        todo: dict[bytes, None] = {}
-        for word in self._waiting:
-            plain = self._marks_split and self._PLAIN.fullmatch(word.lower())
-            stem, mark = (plain[1], plain[2]) if plain else (word, b"")
-            stems.append((stem, mark))
-            if stem not in self._stems:
-                todo[stem] = None
-        new = list(todo)
-        self._stems.update(zip(new, self._encode(new), strict=True))
-        ids = [self._stems[s] + self._marks[m] if m else self._stems[s] for s, m in stems]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, int(sizes.sum()))
-        count = self._known + len(ids)
-        if count > len(self._starts):
-            room = max(count, 2 * len(self._starts))
-            self._starts, self._sizes = np.resize(self._starts, room), np.resize(self._sizes, room)
-        if self._used + len(flat) > len(self._pool):
-            self._pool = np.resize(self._pool, max(self._used + len(flat), 2 * len(self._pool)))
-        self._starts[self._known : count] = self._used + np.cumsum(sizes) - sizes
-        self._sizes[self._known : count] = sizes
-        self._pool[self._used : self._used + len(flat)] = flat
-        self._known, self._used = count, self._used + len(flat)
+        plain, other, same, marked = [], [], [], []
+        done = 0
+        while done < len(self._waiting):  # stems that are new join the queue
+            word, place = self._waiting[done], self._known + done
+            done += 1
+            found = self._PLAIN.fullmatch(word.lower()) if self._shares else None
+            if found is None:
+                other.append((place, word))
+            elif found[2]:
+                marked.append((place, self._places[found[1]], self._marks[found[2]]))
+            elif found[1] != word:
+                same.append((place, self._places[found[1]]))
+            else:
+                plain.append((place, word))
+        self._known += done
         self._waiting.clear()
+        if self._known > len(self._starts):
+            room = max(self._known, 2 * len(self._starts))
+            self._starts, self._sizes = np.resize(self._starts, room), np.resize(self._sizes, room)
+        for group, encode in ((plain, self._encode_plain), (other, self._encode)):
+            for i in range(0, len(group), 4096):
+                block = group[i : i + 4096]
+                ids = encode([w for _, w in block])
+                at, sizes = [p for p, _ in block], np.fromiter(map(len, ids), np.int64, len(ids))
+                start = self._append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
+                self._starts[at], self._sizes[at] = start + np.cumsum(sizes) - sizes, sizes
+        if same:
+            at, stem = np.array(same).T
+            self._starts[at], self._sizes[at] = self._starts[stem], self._sizes[stem]
+        if marked:
+            at, stem, mark = np.array(marked).T
+            sizes = self._sizes[stem].astype(np.int64) + 1
+            ends = np.cumsum(sizes)
+            flat = self._gather(self._starts[stem], sizes)  # one too many each: the mark's place
+            flat[ends - 1] = mark
+            self._starts[at], self._sizes[at] = self._append(flat) + ends - sizes, sizes
+
+    def _gather(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        before = np.cumsum(sizes) - sizes
+        at = np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+        return self._pool[np.minimum(at, len(self._pool) - 1)]
 
     def __call__(self, texts: list[bytes | None], end_id: int) -> list[np.ndarray]:
         """The ids of every text with `end_id` behind them; a missing text counts as empty."""
@@ -209,17 +248,12 @@ class WordIds:
         places = []
         for text in texts:
             words = text.split() if text else []
-            places.append(np.fromiter(map(at, words), np.int64, len(words)))
+            places.append(np.fromiter(map(at, words), np.int32, len(words)))
         self._learn()
         out = []
         for place in places:
-            sizes = self._sizes[place]
-            total = int(sizes.sum())
-            ids = np.empty(total + 1, dtype=np.uint32)
-            before = np.cumsum(sizes) - sizes
-            ids[:total] = self._pool[np.repeat(self._starts[place] - before, sizes) + np.arange(total)]
-            ids[total] = end_id
-            out.append(ids)
+            ids = self._gather(self._starts[place], self._sizes[place].astype(np.int64))
+            out.append(np.append(ids, np.uint32(end_id)))
         return out
 
 
