@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexspan.llm.ctw import op3_lm_scoring
 from lexspan.llm.decontam import op7_benchmark_leaks
 from lexspan.llm.neardup import op4_near_duplicates
 from lexspan.llm.packing import op10_packing
@@ -12,6 +13,7 @@ from lexspan.llm.urls import op9_url_filter
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_benchmark_leaks": op7_benchmark_leaks,
     "op9_url_filter": op9_url_filter,
