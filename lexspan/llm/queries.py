@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from lexspan.llm.ctw import op3_lm_scoring
 from lexspan.llm.decontam import op7_benchmark_leaks
+from lexspan.llm.langid import op6_language_id
 from lexspan.llm.neardup import op4_near_duplicates
 from lexspan.llm.packing import op10_packing
 from lexspan.llm.quality import op2_quality_rules
 from lexspan.llm.secrets import op1_secret_scan
+from lexspan.llm.toxicity import op8_toxicity
 from lexspan.llm.urls import op9_url_filter
 
 QUERIES = {
@@ -15,7 +17,9 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_near_duplicates": op4_near_duplicates,
+    "op6_language_id": op6_language_id,
     "op7_benchmark_leaks": op7_benchmark_leaks,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
 }
