@@ -8,6 +8,7 @@ from lexspan.llm.langid import op6_language_id
 from lexspan.llm.neardup import op4_near_duplicates
 from lexspan.llm.packing import op10_packing
 from lexspan.llm.quality import op2_quality_rules
+from lexspan.llm.rollups import OP5_SQL, op5_token_counts
 from lexspan.llm.secrets import op1_secret_scan
 from lexspan.llm.toxicity import op8_toxicity
 from lexspan.llm.urls import op9_url_filter
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
     "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_toxicity": op8_toxicity,
@@ -24,4 +26,6 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_token_counts": OP5_SQL,
+}
