@@ -53,14 +53,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every secret becomes a mark; the documents stay. A null text stays null."""
     found = find_secrets(docs.select(*COLUMNS))
     clean = F.when(F.col("text").isNotNull(), redacted(F.coalesce("text", F.lit("")), F.col("secrets")))
-    changed = F.size("secrets") > 0
-    return found.select(
-        "doc_id",
-        clean.alias("text"),
-        "lang",
-        "source",
-        F.when(changed, F.length(clean).cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"),
-    )
+    # Not in one select: there, `text` within the lambda would be the new column of that name.
+    length = F.when(F.size("secrets") > 0, F.length("_clean").cast("bigint")).otherwise(F.col("n_chars"))
+    found = found.withColumn("_clean", clean).withColumn("n_chars", length)
+    return found.select("doc_id", F.col("_clean").alias("text"), "lang", "source", "n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
