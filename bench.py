@@ -53,6 +53,10 @@ def main() -> None:
     centres = ann.train_centres(index, cells=64)
     celled = pin(ann.assign_cells(index, centres), "bench-cells")
     vectors = table(spark, sf, "embeddings")
+    folder = scratch_path(spark, "bench-index")
+    indexing.write_index(indexing.with_search_columns(chunk_index(spark, sf), centres), folder)
+    records = indexing.read_index(spark, folder)
+    written = records.select("index_id", "embedding", "cell")
     ids = knn.Columns("vec_id", "embedding", "vec_id", "embedding")
 
     jobs: dict[str, Callable[[], DataFrame]] = {
@@ -66,7 +70,9 @@ def main() -> None:
             corpus(spark, sf, wide=True).drop("unofficial_text_fr"), KEY, max_tokens=indexing.MAX_TOKENS
         ),
         "knn_batch": lambda: knn.knn_batch(index, asked),
-        "knn_batch_blocks": lambda: knn.knn_batch(index, asked, broadcast_bytes=0),
+        "knn_batch_slices": lambda: knn.knn_batch(index, asked, broadcast_bytes=BROADCAST_SLICE),
+        "knn_written_cells": lambda: ann.knn_approx(written, asked, centres, nprobe=4),
+        "retrieve": lambda: retrieve(records, questions(spark, sf), MODEL),
         "knn_cosine": lambda: knn.knn_batch(index, asked, metric=knn.COSINE),
         "knn_all_vectors": lambda: knn.knn_batch(vectors, vectors, columns=ids),
         "knn_approx": lambda: ann.knn_approx(celled, asked, centres, nprobe=8),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from lexspan.plans.embedding import embed_dataset as embed_corpus
 from lexspan.plans.retrieval import embed_query as embed_questions
 from lexspan.plans.retrieval import retrieve as retrieve_chunks
 from lexspan.session import pin, scratch_path
-from lexspan.sources.writers import report_lines
+from lexspan.sources.writers import report_lines, save_report
 from lexspan.streaming.ingest import document_stream, read_ingested
 from lexspan.streaming.ingest import stream_ingest as ingest
 
@@ -277,15 +278,22 @@ def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return _hit_columns(_question_hits(spark, sf, knn.COSINE))
 
 
+def _written_cells(spark: SparkSession, sf: str) -> tuple[DataFrame, np.ndarray]:
+    """The index as a user has it: cells trained, vectors assigned, written and read."""
+    vectors = pin(chunk_index(spark, sf).select("index_id", "embedding"), "vectors")
+    centres = ann.train_centres(vectors, cells=32)
+    path = scratch_path(spark, "cell-index")
+    indexing.write_index(indexing.with_search_columns(vectors, centres), path)
+    return indexing.read_index(spark, path), centres
+
+
 @query("knn_approx")
 def knn_approx(spark: SparkSession, sf: str) -> DataFrame:
-    """Recall of the cell search against the exact one."""
-    index = pin(chunk_index(spark, sf).select("index_id", "embedding"), "vectors")
+    """Recall of a search for few cells of a written index against the exact one."""
+    stored, centres = _written_cells(spark, sf)
     asked = embed_questions(questions(spark, sf), MODEL)
-    centres = ann.train_centres(index, cells=32)
-    celled = ann.assign_cells(index, centres)
-    near = ann.knn_approx(celled, asked, centres, nprobe=8)
-    return ann.recall(near, knn.knn_batch(index, asked))
+    near = ann.knn_approx(stored, asked, centres, nprobe=8)
+    return ann.recall(near, knn.knn_batch(stored, asked))
 
 
 @query(
@@ -294,12 +302,10 @@ def knn_approx(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT query_id, index_id, round(distance, 6) AS distance, rank FROM hits",
 )
 def knn_approx_all_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """The cell search over every cell, which must equal the exact one."""
-    index = pin(chunk_index(spark, sf).select("index_id", "embedding"), "vectors")
-    centres = ann.train_centres(index, cells=32)
+    """The search over every cell of a written index, which must equal the exact one."""
+    stored, centres = _written_cells(spark, sf)
     asked = embed_questions(questions(spark, sf), MODEL)
-    celled = ann.assign_cells(index, centres)
-    return _hit_columns(ann.knn_approx(celled, asked, centres, nprobe=len(centres)))
+    return _hit_columns(ann.knn_approx(stored, asked, centres, nprobe=len(centres)))
 
 
 @query(
@@ -316,6 +322,12 @@ _RETRIEVED = """found AS (
   JOIN ix USING (index_id) JOIN asked q USING (query_id))"""
 
 
+def _stored_index(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "index")
+    indexing.write_index(indexing.with_search_columns(chunk_index(spark, sf)), path)
+    return indexing.read_index(spark, path)
+
+
 @query(
     "retrieve",
     with_(INDEX_SQL, QUESTIONS_SQL, nearest("hits", "asked_vec"), _RETRIEVED)
@@ -323,7 +335,7 @@ _RETRIEVED = """found AS (
            chunk AS unofficial_text_en FROM found""",
 )
 def retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    found = retrieve_chunks(chunk_index(spark, sf), questions(spark, sf), MODEL)
+    found = retrieve_chunks(_stored_index(spark, sf), questions(spark, sf), MODEL)
     return found.select(
         "query_id",
         "query",
@@ -339,14 +351,16 @@ def retrieve(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "retrieval_report",
     with_(INDEX_SQL, QUESTIONS_SQL, nearest("hits", "asked_vec"), _RETRIEVED)
-    + f"""SELECT query_id, rank, CASE WHEN rank = 0 THEN 'query: ' || query || chr(10) || chr(10)
+    + f"""SELECT query_id, rank, CASE WHEN rank = 0 THEN 'query: ' || query || chr(10)
             ELSE '' END || 'doc ' || rank || ': URL: ' || url_en || ' | ' || chunk || chr(10)
             || ' {"-" * 65}' || chr(10) AS line FROM found""",
 )
 def retrieval_report(spark: SparkSession, sf: str) -> DataFrame:
-    found = retrieve_chunks(chunk_index(spark, sf), questions(spark, sf), MODEL)
+    found = retrieve_chunks(_stored_index(spark, sf), questions(spark, sf), MODEL)
     lines = report_lines(found, F.col("query"), F.col("url_en"), F.col("unofficial_text_en"))
-    return lines.withColumn("rank", _long("rank"))
+    path = scratch_path(spark, "report")
+    save_report(lines, path)
+    return spark.read.parquet(path).withColumn("rank", _long("rank"))
 
 
 # ---------------------------------------------------------------- index building

@@ -40,7 +40,7 @@ def dummy_vector(dim: int = 1024) -> Column:
 def check_dimension(vector: Column, dim: int) -> Column:
     """The vector itself, or a failed job when its length is not `dim`."""
     message = F.format_string(
-        "Embedding dimension mismatch: expected %d, got %d", F.lit(dim), F.array_size(vector)
+        "a vector should have %d numbers but has %d", F.lit(dim), F.array_size(vector)
     )
     return F.when(F.array_size(vector) == dim, vector).otherwise(
         F.raise_error(message).cast("array<float>")

@@ -4,16 +4,15 @@ Scores are computed as matrix products inside tasks; a task keeps `k` rows per q
 so what is moved is small. Ties are broken by id, and fewer than `k` vectors give
 fewer rows.
 
-- One query, or a set that fits the broadcast bound: the queries go to the tasks and
-  the index is read once, in place.
-- A larger set: index and queries are cut into blocks of bounded size, and each pair of
-  blocks that has to be compared meets in one group.
+Queries go to the tasks, in slices of bounded size, and the index is read in place, once for
+each slice. One ranking over all slices follows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +24,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexspan.functions.vectors import NORM_FLOOR, cosine, l2_squared
 from lexspan.operators.arrow import blocks, to_ids, to_matrix
+from lexspan.session import pin
 
 L2 = "l2"
 COSINE = "cosine"
 
-# Query vectors up to this many bytes are broadcast; beyond it blocks are joined.
+# Query vectors of a slice that are sent to the tasks at a time.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows per block when blocks are joined.
-INDEX_BLOCK = 20_000
-QUERY_BLOCK = 2_000
-# Hits up to this many are looked up by a filter on their ids.
-LOOKUP_ROWS = 10_000
+# A lookup of up to this many hits also filters the scan by their ids.
+FILTER_IDS = 10_000
 # Queries scored at a time, and pairs compared exactly at a time, within a task.
 SCORE_ROWS = 256
 EXACT_PAIRS = 65_536
@@ -63,12 +60,14 @@ def distance(a: Column, b: Column, metric: str = L2) -> Column:
 
 
 class _Best:
-    """The best `k` rows per query seen so far in a task."""
+    """The best `k` rows per query seen so far in a task, in arrays of fixed size."""
 
     def __init__(self, queries: np.ndarray, k: int, metric: str) -> None:
         self.queries, self.k, self.metric = queries, k, metric
         self.kth = np.full(len(queries), np.inf)
-        self.rows: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.held = np.zeros(len(queries), dtype=np.int64)
+        self.distances = np.full((len(queries), k), np.inf)
+        self.ids: np.ndarray | None = None
         self._squares = (queries * queries).sum(axis=1)
 
     def _approximate(self, rows: np.ndarray, x: np.ndarray, xx: np.ndarray):
@@ -114,33 +113,34 @@ class _Best:
                 self._merge(rows[qi], self._exact(rows[qi], xi, x), ids[xi])
 
     def _merge(self, qi: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
-        if self.rows is not None:
-            touched = np.zeros(len(self.queries), dtype=bool)
-            touched[qi] = True
-            old = touched[self.rows[0]]
-            rest = tuple(col[~old] for col in self.rows)
-            qi, d, ids = (
-                np.concatenate([col[old], new])
-                for col, new in zip(self.rows, (qi, d, ids), strict=True)
-            )
-        else:
-            rest = None
+        """Put candidates in their place; only the queries they belong to are touched."""
+        if self.ids is None:
+            kind = ids.dtype if ids.dtype.kind in "iu" else object
+            self.ids = np.zeros((len(self.queries), self.k), dtype=kind)
+        touched = np.unique(qi)
+        old = np.arange(self.k)[None, :] < self.held[touched, None]
+        qi = np.concatenate([np.repeat(touched, self.held[touched]), qi])
+        d = np.concatenate([self.distances[touched][old], d])
+        before = self.ids[touched][old]
+        ids = np.concatenate([before.astype(str) if before.dtype == object else before, ids])
         order = np.lexsort((ids, d, qi))
         qi, d, ids = qi[order], d[order], ids[order]
         starts = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
         sizes = np.diff(np.r_[starts, len(qi)])
         place = np.arange(len(qi)) - np.repeat(starts, sizes)
         keep = place < self.k
+        self.distances[qi[keep], place[keep]] = d[keep]
+        self.ids[qi[keep], place[keep]] = ids[keep]
+        self.held[touched] = np.minimum(sizes, self.k)
         last = place == self.k - 1
         self.kth[qi[last]] = d[last]
-        new = (qi[keep], d[keep], ids[keep])
-        self.rows = new if rest is None else tuple(map(np.concatenate, zip(rest, new, strict=True)))
 
     def table(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.Table:
-        if self.rows is None:
+        if self.ids is None:
             return schema.empty_table()
-        qi, d, ids = self.rows
-        columns = (query_ids[qi], ids, d)
+        there = np.arange(self.k)[None, :] < self.held[:, None]
+        qi = np.repeat(np.arange(len(self.queries)), self.held)
+        columns = (query_ids[qi], self.ids[there], self.distances[there])
         return pa.table(
             [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
         )
@@ -162,19 +162,29 @@ def _hit_schema(index: DataFrame, queries: DataFrame, columns: Columns) -> T.Str
     )
 
 
-def small_queries(
+def query_slices(
     queries: DataFrame, columns: Columns, limit_bytes: int = BROADCAST_BYTES
-) -> pa.Table | None:
-    """The query table if its vectors fit in `limit_bytes`, else nothing."""
-    table = queries.select(
-        F.col(columns.query_id).alias("query_id"), F.col(columns.query_vector).alias("vector")
+) -> Iterator[pa.Table]:
+    """The query table in slices whose vectors have about half of `limit_bytes` each.
+
+    The queries are written once before, as a model may be behind them. Slices are cut by a
+    hash of the id and number, so that their sizes are even.
+    """
+    table = pin(
+        queries.select(
+            F.col(columns.query_id).alias("query_id"),
+            F.col(columns.query_vector).alias("vector"),
+            F.monotonically_increasing_id().alias("number"),
+        ),
+        "queries",
     )
-    first = table.select(F.array_size("vector")).first()
-    if first is None:
-        return table.limit(0).toArrow()
-    most = max(limit_bytes // (8 * max(first[0], 1)), 0)
-    head = table.limit(most + 1).toArrow()
-    return head if head.num_rows <= most else None
+    size, width = table.agg(F.count(F.lit(1)), F.max(F.array_size("vector"))).first()
+    most = max(limit_bytes // (2 * 8 * max(width or 1, 1)), 1)
+    slices = max(1, -(-size // most))
+    own = F.pmod(F.xxhash64("query_id", "number"), F.lit(slices))
+    for at in range(slices):
+        part = table if slices == 1 else table.where(own == at)
+        yield part.select("query_id", "vector").toArrow()
 
 
 def query_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -198,85 +208,24 @@ def knn_batch(
         F.col(columns.index_id).alias("index_id"), F.col(columns.index_vector).alias("vector")
     )
     schema = _hit_schema(index, queries, columns)
-    small = small_queries(queries, columns, broadcast_bytes)
-    if small is None:
-        asked = queries.select(
-            F.col(columns.query_id).alias("query_id"), F.col(columns.query_vector).alias("vector")
-        )
-        everything = F.lit(0).alias("cell")
-        return _final(
-            block_join(
-                vectors.select("*", everything), asked.select("*", everything), k, metric, schema
-            ),
-            k,
-        )
     context = index.sparkSession.sparkContext
-    shared = context.broadcast(query_arrays(small))
-
     out = to_arrow_schema(schema)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
-        best = _Best(matrix, k, metric)
-        for batch in batches:
-            for part in blocks(batch, "vector"):
-                best.add(to_ids(part.column("index_id")), to_matrix(part.column("vector")))
-        yield from best.table(query_ids, out).to_batches()
-
-    return _final(vectors.mapInArrow(search, schema), k)
-
-
-def block_join(
-    vectors: DataFrame, asked: DataFrame, k: int, metric: str, schema: T.StructType
-) -> DataFrame:
-    """Compare the vectors and queries that share a `cell`, block against block.
-
-    Each cell is cut by a hash of the id into blocks of about `INDEX_BLOCK` vectors and
-    `QUERY_BLOCK` queries, so a cell that holds most of the table is many groups. A
-    vector is copied once per query block of its cell, and a query once per vector block.
-    """
-    sizes = (
-        vectors.groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n_vectors"))
-        .join(asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n_queries")), "cell")
-        .select(
-            "cell",
-            F.ceil(F.col("n_vectors") / INDEX_BLOCK).cast("int").alias("vector_blocks"),
-            F.ceil(F.col("n_queries") / QUERY_BLOCK).cast("int").alias("query_blocks"),
-        )
-    )
+    def search_for(part: pa.Table) -> DataFrame:
+        shared = context.broadcast(query_arrays(part))
 
-    def copies(blocks: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-
-    # One row per cell: no more than there are centres, which fit a broadcast.
-    sizes = F.broadcast(sizes)
-    left = vectors.join(sizes, "cell").select(
-        "index_id",
-        "vector",
-        "cell",
-        F.pmod(F.xxhash64("index_id"), F.col("vector_blocks")).cast("int").alias("vb"),
-        copies("query_blocks").alias("qb"),
-    )
-    right = asked.join(sizes, "cell").select(
-        "query_id",
-        "vector",
-        "cell",
-        F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("qb"),
-        copies("vector_blocks").alias("vb"),
-    )
-
-    out = to_arrow_schema(schema)
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, matrix = shared.value
+            best = _Best(matrix, k, metric)
+            for batch in batches:
+                for rows in blocks(batch, "vector"):
+                    best.add(to_ids(rows.column("index_id")), to_matrix(rows.column("vector")))
+            yield from best.table(query_ids, out).to_batches()
 
-    def compare(index_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        query_ids, matrix = query_arrays(query_rows)
-        best = _Best(matrix, k, metric)
-        for part in blocks(index_rows, "vector"):
-            best.add(to_ids(part.column("index_id")), to_matrix(part.column("vector")))
-        return best.table(query_ids, out)
+        return vectors.mapInArrow(search, schema)
 
-    block = ["cell", "vb", "qb"]
-    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(compare, schema)
+    parts = map(search_for, query_slices(queries, columns, broadcast_bytes))
+    return _final(reduce(DataFrame.unionByName, parts), k)
 
 
 def knn_exact(
@@ -297,21 +246,14 @@ def knn_exact(
 def _with_few_hits(
     hits: DataFrame, table: DataFrame, index_id: str
 ) -> tuple[DataFrame, DataFrame]:
-    """The hits under the table's id name, and the part of the table to join them with.
+    """The hits under the table's id name, and the table to join them with.
 
-    Hits are few next to the table. Up to `LOOKUP_ROWS` they are fetched once and their
-    ids given to the scan as a filter, so that row groups without a hit are skipped.
-    More than that are joined as they are.
+    The hits are written once, so that the search behind them runs once. Where they are few, their
+    ids are also given to the scan, so that row groups without a hit are skipped.
     """
-    head = hits.limit(LOOKUP_ROWS + 1).toArrow()
-    if head.num_rows > LOOKUP_ROWS:
-        return hits.withColumnRenamed("index_id", index_id), table
-    ids = head.column("index_id").unique().to_pylist()
-    few = hits.sparkSession.createDataFrame(head).to(hits.schema)
-    return (
-        F.broadcast(few.withColumnRenamed("index_id", index_id)),
-        table.where(F.col(index_id).isin(ids)),
-    )
+    held = pin(hits.withColumnRenamed("index_id", index_id), "hits")
+    ids = held.select(index_id).distinct().limit(FILTER_IDS + 1).toArrow().column(0).to_pylist()
+    return held, table.where(F.col(index_id).isin(ids)) if len(ids) <= FILTER_IDS else table
 
 
 def lookup_ranked(hits: DataFrame, table: DataFrame, index_id: str = "index_id") -> DataFrame:

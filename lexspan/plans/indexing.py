@@ -21,7 +21,7 @@ from lexspan.operators.ordinals import running_totals
 from lexspan.schema import CHUNK_IDX, TEXT_EN, TEXT_FR
 from lexspan.session import pin, shuffle_partitions
 
-# The token budget of a run and the chunks sent in one request.
+# The usual token budget of a trial run, and the chunks sent in one request.
 MAX_TOKENS = 100_000
 REQUEST_CHUNKS = 800
 
@@ -113,7 +113,7 @@ def create_index(
     model: EmbeddingModel,
     chunker: Chunker | None = None,
     included_datasets: Iterable[str] | None = None,
-    max_tokens: int | None = MAX_TOKENS,
+    max_tokens: int | None = None,
     text_col: str = TEXT_EN,
 ) -> DataFrame:
     """Index records: ids, text, embedding, and the metadata of the document."""

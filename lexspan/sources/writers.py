@@ -87,19 +87,12 @@ def report_lines(
     entry = F.format_string(
         "doc %d: URL: %s | %s\n " + rule + "\n", F.col(rank_col), url, text
     )
-    opening = F.when(F.col(rank_col) == 0, F.concat(F.lit("query: "), query, F.lit("\n\n")))
+    opening = F.when(F.col(rank_col) == 0, F.concat(F.lit("query: "), query, F.lit("\n")))
     keep = [c for c in ("query_id", rank_col) if c in hits.columns]
     return hits.select(*keep, F.concat(F.coalesce(opening, F.lit("")), entry).alias("line"))
 
 
 def save_report(lines: DataFrame, path: str, query_col: str = "query_id") -> None:
-    """One report per query, its entries in rank order."""
-    whole = lines.groupBy(query_col).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda e: e["line"]
-            ),
-            "",
-        ).alias("value")
-    )
-    whole.write.mode("overwrite").partitionBy(query_col).text(path)
+    """The entries of all reports as one table, in the order of query and rank."""
+    ordered = lines.repartitionByRange(query_col, "rank").sortWithinPartitions(query_col, "rank")
+    ordered.write.mode("overwrite").parquet(path)

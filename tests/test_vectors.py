@@ -40,19 +40,16 @@ QUERIES = RNG.normal(size=(23, 12))
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-@pytest.mark.parametrize("broadcast", [knn.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("broadcast", [knn.BROADCAST_BYTES, 2000])
 @pytest.mark.parametrize("key", [int, "v{:04d}".format])
 def test_knn_equals_brute_force(spark, monkeypatch, metric, broadcast, key):
-    monkeypatch.setattr(knn, "INDEX_BLOCK", 90)
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
     index, asked = frame(spark, VECTORS, key=key), frame(spark, QUERIES, "query_id", key)
     got = knn.knn_batch(index, asked, 6, metric, broadcast_bytes=broadcast)
     assert found(got) == brute(VECTORS, QUERIES, 6, metric, key)
 
 
-@pytest.mark.parametrize("broadcast", [knn.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("broadcast", [knn.BROADCAST_BYTES, 2000])
 def test_copies_tie_by_id(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(knn, "INDEX_BLOCK", 50)
     # A third of the table is one vector.
     vectors = RNG.integers(0, 3, size=(300, 4)).astype(float)
     vectors[::3] = [1, 1, 1, 1]
@@ -93,12 +90,38 @@ def test_many_hits_are_looked_up_by_a_join(spark, monkeypatch):
     hits = knn.knn_batch(index, frame(spark, QUERIES, "query_id"), 4).persist()
     few = sorted(map(str, knn.lookup_ranked(hits, index).collect()))
     kept = sorted(map(str, knn.lookup_filter(hits, index).collect()))
-    monkeypatch.setattr(knn, "LOOKUP_ROWS", 10)
+    monkeypatch.setattr(knn, "FILTER_IDS", 10)
     assert sorted(map(str, knn.lookup_ranked(hits, index).collect())) == few
     assert sorted(map(str, knn.lookup_filter(hits, index).collect())) == kept
     hits.unpersist()
 
 
+def test_a_lookup_searches_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    index = frame(spark, VECTORS)
+    watched = index.mapInArrow(counted, index.schema)
+    hits = knn.knn_batch(watched, frame(spark, QUERIES, "query_id"), 4)
+    assert knn.lookup_ranked(hits, index).count() == 4 * len(QUERIES)
+    assert seen.value == len(VECTORS)
+
+
+def test_centres_see_all_vectors_unless_asked_otherwise(spark):
+    many = np.concatenate([VECTORS] * 3)
+    index = frame(spark, many + np.arange(len(many))[:, None] * 1e-9)
+    assert len(ann.train_centres(index, cells=1)) == 1
+    assert np.allclose(ann.train_centres(index, cells=1)[0], many.mean(axis=0), atol=1e-6)
+    some = ann.train_centres(index, cells=1, one_in=4)
+    again = ann.train_centres(index.repartition(7), cells=1, one_in=4)
+    assert np.allclose(some, again) and not np.allclose(some[0], many.mean(axis=0), atol=1e-9)
+    assert ann.default_cells(10**10) == 10**5
+
+
 def test_vectors_of_unequal_length_are_refused(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "index_id int, embedding array<float>")
     with pytest.raises(PythonException, match="one length"):
@@ -107,10 +130,8 @@ def test_vectors_of_unequal_length_are_refused(spark):
         knn.knn_batch(frame(spark, VECTORS), frame(spark, QUERIES[:1, :2], "query_id")).collect()
 
 
-@pytest.mark.parametrize("broadcast", [knn.BROADCAST_BYTES, 0])
-def test_cells(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(knn, "INDEX_BLOCK", 60)
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 6)
+@pytest.mark.parametrize("broadcast", [knn.BROADCAST_BYTES, 2000])
+def test_cells(spark, broadcast):
     # Half of the vectors fall into one cell.
     vectors = np.concatenate([VECTORS[:200], RNG.normal(size=(200, 12)) * 0.05 + 9])
     index, asked = frame(spark, vectors), frame(spark, QUERIES, "query_id")
@@ -159,7 +180,7 @@ def test_dimension_is_checked(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "i int, embedding array<float>")
     assert [r.i for r in embedding.dimension_errors(rows, 2).collect()] == [1]
     assert embedding.dimension_errors(rows.where("i = 0"), None).count() == 0
-    with pytest.raises(Exception, match="expected 2, got 1"):
+    with pytest.raises(Exception, match="should have 2 numbers but has 1"):
         rows.select(check_dimension(F.col("embedding"), 2)).collect()
 
 
