@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,7 @@ from lexspan.operators import ann, embedding, knn, metrics
 from lexspan.operators.chunking import NaiveChunker, chunk
 from lexspan.operators.models import BATCH_SIZE, SHARDED_BATCH_SIZE, DummyModel
 from lexspan.operators.ordinals import running_totals
+from lexspan.operators.tokenizers import BatchTokenizer
 from lexspan.plans import indexing, validation
 from lexspan.plans.embedding import chunk_dataset
 from lexspan.plans.embedding import embed_dataset as embed_corpus
@@ -142,6 +145,20 @@ def token_count(spark: SparkSession, sf: str) -> DataFrame:
     return _chunks(spark, sf).select("doc_id", _long("chunk_idx"), tokens)
 
 
+def _visible() -> Callable[[list[str]], list[int]]:
+    """A stand-in for a tokenizer of another library: a token for every visible character."""
+    return lambda texts: [sum(map(len, t.split())) for t in texts]
+
+
+@query(
+    "token_count_plugged",
+    with_(_CHUNK_SQL) + f"SELECT doc_id, chunk_idx, length(array_to_string({words('chunk')}, '')) AS tokens FROM c",
+)
+def token_count_plugged(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = BatchTokenizer(_visible).count(F.col("unofficial_text")).cast("long").alias("tokens")
+    return _chunks(spark, sf).select("doc_id", _long("chunk_idx"), tokens)
+
+
 @query(
     "token_roundtrip",
     with_(_CHUNK_SQL)
@@ -380,7 +397,7 @@ def create_index(spark: SparkSession, sf: str) -> DataFrame:
 @query("index_ids", with_(INDEX_SQL) + "SELECT index_id, document_id, doc_id, chunk_idx FROM ix")
 def index_ids(spark: SparkSession, sf: str) -> DataFrame:
     d = wide_documents(spark, sf).withColumnRenamed("text", "unofficial_text_en")
-    chunks = indexing.numbered_chunks(d, KEY)
+    chunks = indexing.numbered_chunk_ids(d, KEY)
     key = document_key(F.col("source"), F.col("doc_ordinal"), F.col("chunk_idx"))
     return chunks.select("index_id", key.alias("document_id"), "doc_id", _long("chunk_idx"))
 
@@ -407,7 +424,7 @@ def token_budget(spark: SparkSession, sf: str) -> DataFrame:
 )
 def request_batches(spark: SparkSession, sf: str) -> DataFrame:
     d = wide_documents(spark, sf).withColumnRenamed("text", "unofficial_text_en")
-    chunks = indexing.request_batches(indexing.numbered_chunks(d, KEY))
+    chunks = indexing.request_batches(indexing.numbered_chunk_ids(d, KEY))
     # Every document has a chunk zero, and one only.
     first = F.when(F.col("chunk_idx") == 0, 1)
     return chunks.groupBy("request_id").agg(

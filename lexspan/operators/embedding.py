@@ -88,11 +88,14 @@ def planned_calls(df: DataFrame, batch_size: int) -> DataFrame:
     )
 
 
-def dimension_errors(df: DataFrame, dim: int | None, vector_col: str = "embedding") -> DataFrame:
-    """Rows whose vector has another length; an unset `dim` is taken from a first row."""
+def dimension_errors(
+    df: DataFrame, dim: int | None, vector_col: str = "embedding", key: str | None = None
+) -> DataFrame:
+    """Rows whose vector has another length; an unset `dim` is that of the row with the smallest `key`."""
     if dim is None:
-        first = df.select(F.array_size(vector_col)).first()
-        dim = first[0] if first else 0
+        if key is None:
+            raise ValueError("without a dimension, name the key that orders the rows")
+        dim = df.agg(F.min_by(F.array_size(vector_col), key)).first()[0] or 0
     return df.where(F.array_size(vector_col) != dim).withColumn("expected_dim", F.lit(dim))
 
 

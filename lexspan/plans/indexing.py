@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.functions.folds import scan
-from lexspan.functions.text import document_key, word_count
+from lexspan.functions.text import document_key
 from lexspan.functions.vectors import check_dimension, norm
 from lexspan.operators.ann import assign_cells
 from lexspan.operators.chunking import CHUNKS, Chunker, NaiveChunker
@@ -18,6 +18,7 @@ from lexspan.operators.explode import explode_once
 from lexspan.operators.filters import drop_empty_text, filter_datasets
 from lexspan.operators.models import EmbeddingModel
 from lexspan.operators.ordinals import running_totals
+from lexspan.operators.tokenizers import BlankSplit, Tokenizer
 from lexspan.schema import CHUNK_IDX, TEXT_EN, TEXT_FR
 from lexspan.session import pin, shuffle_partitions
 
@@ -42,14 +43,16 @@ def numbered_chunks(
     chunker: Chunker | None = None,
     text_col: str = TEXT_EN,
     max_tokens: int | None = None,
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """Chunks with a dense `index_id`, their document's `doc_ordinal`, and `num_tokens`.
 
     With a budget, chunks up to and including the one that first exceeds it are kept, and
     `tokens_before` tells the tokens used before each. Totals are taken per document, so
-    one narrow row per document is shuffled for them.
+    one narrow row per document is shuffled for them. Eager: they are written while the plan
+    is built.
     """
-    chunker = chunker or NaiveChunker()
+    chunker, tokenizer = chunker or NaiveChunker(), tokenizer or BlankSplit()
     texts = drop_empty_text(documents, text_col, "empty")
     per_document = chunker.count(F.col(text_col))
     if per_document is None:
@@ -67,11 +70,11 @@ def numbered_chunks(
         before = running_totals(texts, order_by, {"doc_ordinal": F.lit(1), "first_id": chunk_count})
         joined = with_chunks(texts.join(before, order_by))
         rows = explode_once(joined, CHUNKS, CHUNK_IDX, text_col)
-        tokens = word_count(F.col(text_col)).cast("long").alias("num_tokens")
+        tokens = tokenizer.count(F.col(text_col)).cast("long").alias("num_tokens")
         return rows.select(index_id, "doc_ordinal", CHUNK_IDX, text_col, tokens, *metadata)
 
     def with_tokens(df: DataFrame) -> DataFrame:
-        return with_chunks(df).withColumn("_tokens", F.transform(CHUNKS, word_count))
+        return with_chunks(df).withColumn("_tokens", tokenizer.count_each(F.col(CHUNKS)))
 
     spent = F.aggregate("_tokens", F.lit(0).cast("long"), lambda total, n: total + n)
     before = running_totals(
@@ -98,6 +101,30 @@ def numbered_chunks(
     return numbered.where(F.col("tokens_before") <= max_tokens)
 
 
+def numbered_chunk_ids(
+    documents: DataFrame,
+    order_by: list[str],
+    chunker: Chunker | None = None,
+    text_col: str = TEXT_EN,
+) -> DataFrame:
+    """`index_id`, `doc_ordinal`, `chunk_idx` and the metadata of every chunk, without its text.
+
+    The same ids as `numbered_chunks`. Where the chunker can tell the number of chunks, none is
+    cut, and no text is moved. Eager: the totals are written while the plan is built.
+    """
+    chunker = chunker or NaiveChunker()
+    count = chunker.count(F.col(text_col))
+    if count is None:
+        return numbered_chunks(documents, order_by, chunker, text_col).drop(text_col, "num_tokens")
+    narrow = drop_empty_text(documents, text_col, "empty").withColumn("_n", count).drop(text_col)
+    before = running_totals(narrow, order_by, {"doc_ordinal": F.lit(1), "first_id": F.col("_n")})
+    places = F.when(F.col("_n") > 0, F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")))
+    rows = narrow.join(before, order_by).withColumn(CHUNK_IDX, F.explode(places))
+    index_id = (F.col("first_id") + F.col(CHUNK_IDX)).alias("index_id")
+    metadata = [c for c in narrow.columns if c != "_n"]
+    return rows.select(index_id, "doc_ordinal", CHUNK_IDX, *metadata)
+
+
 def request_batches(chunks: DataFrame, size: int = REQUEST_CHUNKS) -> DataFrame:
     """Add the request that carries each chunk; whole documents stay together.
 
@@ -115,12 +142,13 @@ def create_index(
     included_datasets: Iterable[str] | None = None,
     max_tokens: int | None = None,
     text_col: str = TEXT_EN,
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """Index records: ids, text, embedding, and the metadata of the document."""
     if included_datasets is not None:
         documents = filter_datasets(documents, included_datasets)
     documents = documents.drop(*{TEXT_EN, TEXT_FR} - {text_col})
-    chunks = numbered_chunks(documents, order_by, chunker, text_col, max_tokens)
+    chunks = numbered_chunks(documents, order_by, chunker, text_col, max_tokens, tokenizer)
     records = embed(chunks, model, text_col)
     rest = [
         c for c in records.columns

@@ -45,11 +45,14 @@ def save_csv_sample(chunks: DataFrame, path: str, order_by: list[str], n: int =
 def incremental_save(chunks: DataFrame, path: str, batch_size: int = 32, every: int = 20) -> None:
     """Save in steps of `every * batch_size` documents; `chunks` must carry `doc_idx`.
 
-    Each step is its own folder, and saving a step again replaces only that folder.
+    Each step is its own folder, and saving a step again replaces only that folder. Rows are
+    cut by ranges of `doc_idx` first, so there are no more files than steps and tasks together.
+    To have steps committed one after the other, save ranges of `doc_idx` one by one.
     """
     step = F.floor(F.col("doc_idx") / (every * batch_size)).cast("long")
     (
         chunks.withColumn("save_id", step)
+        .repartitionByRange("doc_idx")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("save_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexspan.operators.chunking import NaiveChunker, TopicChunker, chunk
 from lexspan.operators.models import HashModel
+from lexspan.operators.tokenizers import BatchTokenizer
 from lexspan.plans import indexing, validation
 from lexspan.plans.embedding import embed_dataset
 from lexspan.plans.retrieval import question_table, retrieve
@@ -91,6 +92,31 @@ def test_index_ids_and_budget(spark, chunker, budget):
     assert [(r.index_id, r.k, r.chunk_idx, r.unofficial_text_en, r.num_tokens) for r in got] == want
 
 
+@pytest.mark.parametrize("chunker", [NaiveChunker(60, 5), TopicChunker(MODEL, 0.5, 80)])
+def test_ids_without_texts(spark, chunker):
+    docs = documents(spark).drop("unofficial_text_fr")
+    whole = indexing.numbered_chunks(docs, ["k"], chunker)
+    ids = indexing.numbered_chunk_ids(docs, ["k"], chunker)
+    assert "unofficial_text_en" not in ids.columns
+    assert sorted(map(str, ids.collect())) == sorted(map(str, whole.select(*ids.columns).collect()))
+
+
+@pytest.mark.parametrize("budget", [None, 300])
+def test_a_tokenizer_plugged_in(spark, budget):
+    def make():
+        return lambda texts: [len(t) for t in texts]
+
+    docs = documents(spark).drop("unofficial_text_fr")
+    own = BatchTokenizer(make)
+    rows = indexing.numbered_chunks(docs, ["k"], NaiveChunker(60, 5), max_tokens=budget, tokenizer=own)
+    rows = rows.orderBy("index_id").collect()
+    assert rows and all(r.num_tokens == len(r.unofficial_text_en) for r in rows)
+    if budget is not None:
+        assert sum(r.num_tokens for r in rows[:-1]) <= budget
+    counted = spark.createDataFrame([("abc",), (None,)], "t string").select(own.count(F.col("t"))).collect()
+    assert [r[0] for r in counted] == [3, None]
+
+
 def test_index_roundtrip_and_retrieval(spark, tmp_path):
     index = indexing.create_index(documents(spark), ["k"], MODEL, NaiveChunker(60, 5), ["d0", "d1"])
     path = str(tmp_path / "index")

@@ -179,7 +179,8 @@ def test_spreading_before_the_model_keeps_rows(spark):
 def test_dimension_is_checked(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "i int, embedding array<float>")
     assert [r.i for r in embedding.dimension_errors(rows, 2).collect()] == [1]
-    assert embedding.dimension_errors(rows.where("i = 0"), None).count() == 0
+    assert embedding.dimension_errors(rows, None, key="i").count() == 1
+    assert embedding.dimension_errors(rows.where("i = 0"), None, key="i").count() == 0
     with pytest.raises(Exception, match="should have 2 numbers but has 1"):
         rows.select(check_dimension(F.col("embedding"), 2)).collect()
 
