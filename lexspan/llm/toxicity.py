@@ -33,8 +33,8 @@ class Toxicity:
     many ordinary ones. sample_bytes: longest text in the sample. window: least bytes of a window of
     whole words. dictionary: bytes of the ordinary dictionary. distinct: most bytes of the words and
     beginnings of words that set toxic texts apart. evidence: standard errors by which such a word
-    is commoner in toxic texts, which must have it at least four times as often. threshold: score
-    from which a text counts as toxic.
+    is commoner in toxic texts, which must have it `times` as often. threshold: score from which a
+    text counts as toxic.
     """
 
     sample: int = 1500
@@ -43,6 +43,7 @@ class Toxicity:
     dictionary: int = 16384
     distinct: int = 2048
     evidence: float = 3.0
+    times: float = 12.0
     level: int = 6
     min_match: int = 5
     threshold: float = 0.3
@@ -126,7 +127,7 @@ def _distinct_words(toxic: list[bytes], ordinary: list[bytes], how: Toxicity) ->
     for word, n in own.items():
         a, b = (n + 0.5) / (len(bad) + 1), (others[word] + 0.5) / (len(good) + 1)
         z = (a - b) / math.sqrt(a / len(bad) + b / len(good))
-        if a > 4 * b and z > how.evidence and len(word) >= how.min_match - 1:
+        if a > how.times * b and z > how.evidence and len(word) >= how.min_match - 1:
             ranked.append((-z, word))
     out = b""
     for _, word in sorted(ranked):
