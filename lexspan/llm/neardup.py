@@ -5,10 +5,11 @@ candidates; of the minima themselves two low bits are kept, packed into bit plan
 of a pair, corrected for chance agreement, estimate its similarity. What may be similar enough is
 confirmed on the full shingle sets.
 
-Copies are one document until the end. In a bucket, all members are first compared with its
-smallest; then, between members that are still in different components, every pair of which one
-is outside the bucket's largest component. So a large group of near copies costs one comparison
-per member, and no link between components is left out.
+Copies are one document until the end. Every member of a bucket is first compared with one hub, the
+smallest member of the largest component of the buckets it shares; then, between members that are
+still in different components, every pair of which one is outside the bucket's largest component.
+So a large group of near copies costs about one comparison per member, and no link between
+components is left out.
 """
 
 from __future__ import annotations
@@ -40,12 +41,16 @@ class NearDup:
     shingle: words of a shingle. percent: least Jaccard similarity of a link, in percent.
     miss: largest probability that a pair at that similarity shares no band; the rows of a band
     follow from it. sigmas: standard errors of the estimate that a candidate may fall short by.
+    hub_rounds: rounds of one comparison per member before all that is left apart is compared.
+    broadcast_ids: most ids of documents to confirm that are sent to the scan.
     """
 
     shingle: int = 5
     percent: int = 80
     miss: float = 1e-5
-    sigmas: float = 6.0
+    sigmas: float = 4.5
+    hub_rounds: int = 2
+    broadcast_ids: int = 1_000_000
 
     @property
     def rows(self) -> int:
@@ -215,11 +220,75 @@ def confirm_batches(how: NearDup):
     return confirm
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Every text moves once, then with its pairs."""
+def _asked_texts(docs: DataFrame, pairs: DataFrame, how: NearDup) -> DataFrame:
+    """id and text of the documents in `pairs`. Few ids go to the scan; for many, the texts move."""
+    asked = pin(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "asked")
+    small = asked.count() <= how.broadcast_ids
+    found = docs.join(F.broadcast(asked) if small else asked, "doc_id", "left_semi")
+    return pin(found.select(F.col("doc_id").alias("id"), "text"), "texts")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, how: NearDup) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    texts = _asked_texts(docs, pairs, how)
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     whole = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return whole.select("a", "b", "text_a", "text_b").mapInArrow(confirm_batches(how), "a bigint, b bigint")
+    found = whole.select("a", "b", "text_a", "text_b").mapInArrow(confirm_batches(how), "a bigint, b bigint")
+    return pin(found, "links")
+
+
+def _with_components(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return shared.withColumn("component", F.col("id"))
+    return shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _mixed_buckets(placed: DataFrame, step: int) -> DataFrame:
+    """key, largest (component) and hub (a member of it, another one in each step) of the buckets with
+    several components."""
+    turn = F.lit(0).cast("bigint") if step == 0 else F.xxhash64("id", F.lit(step))
+    groups = placed.groupBy("key", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(turn.alias("turn"), F.col("id"))).alias("first")
+    )
+    top = F.max(F.struct(F.col("n"), F.col("component"), F.col("first.id").alias("hub")))
+    return (
+        groups.groupBy("key")
+        .agg(top.alias("top"), F.count(F.lit(1)).alias("kinds"))
+        .filter("kinds > 1")
+        .select("key", F.col("top.component").alias("largest"), F.col("top.hub").alias("hub"))
+    )
+
+
+def _to_hubs(met: DataFrame, planes: DataFrame, how: NearDup) -> DataFrame:
+    """One pair at most for every member: with the hub, of another component, that it shares most
+    buckets with."""
+    often = met.filter("component != largest").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = often.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("hub")).alias("least"))).alias("top"))
+    pairs = best.select(F.least("id", -F.col("top.least")).alias("a"), F.greatest("id", -F.col("top.least")).alias("b"))
+    return (
+        pairs.distinct()
+        .join(planes.select(F.col("id").alias("b"), F.col("planes").alias("y")), "b")
+        .join(planes.select(F.col("id").alias("a"), F.col("planes").alias("x")), "a")
+        .filter(estimate(F.col("x"), F.col("y")) >= how.least_estimate)
+        .select("a", "b")
+    )
+
+
+def _across(met: DataFrame, planes: DataFrame, how: NearDup) -> DataFrame:
+    """All pairs of members of a bucket that are in different components and may be similar."""
+    apart = pin(met.drop("_salt", "hub").join(planes, "id"), "apart")
+    right = apart.filter("component != largest").select(
+        "key", F.col("id").alias("other"), F.col("component").alias("other_component"), F.col("planes").alias("y")
+    )
+    # Pairs outside the largest component are met twice; one of the two is enough.
+    once = (F.col("component") == F.col("largest")) | (F.col("id") < F.col("other"))
+    return (
+        apart.join(right, "key")
+        .filter((F.col("component") != F.col("other_component")) & once)
+        .filter(estimate(F.col("planes"), F.col("y")) >= how.least_estimate)
+        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        .distinct()
+    )
 
 
 def near_duplicates(docs: DataFrame, how: NearDup | None = None) -> DataFrame:
@@ -240,64 +309,29 @@ def near_duplicates(docs: DataFrame, how: NearDup | None = None) -> DataFrame:
         "distinct",
     )
     members = distinct.select("id", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    planes = distinct.select("id", "planes")
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     salted = members.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    pairs = (
-        salted_join(salted, hubs, ["key"], SALTS, "inner").filter("id != a").select("a", F.col("id").alias("b")).distinct()
-    )
-    near = F.col("estimate") >= how.least_estimate
-    tried = pin(
-        pairs.join(planes.select(F.col("id").alias("b"), F.col("planes").alias("y")), "b")
-        .join(planes.select(F.col("id").alias("a"), F.col("planes").alias("x")), "a")
-        .withColumn("estimate", estimate(F.col("x"), F.col("y")))
-        .filter(near)
-        .select("a", "b"),
-        "candidates",
-    )
-    texts = docs.join(distinct.select(F.col("id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("id"), "text")
-    asked = tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "id")
-    texts = pin(texts.join(asked, "id", "left_semi"), "texts")
-    links = pin(_confirmed(tried, texts, how), "links")
-    labels = components(links)
-
-    # Members of one bucket that are still apart.
-    placed = (
-        members.join(labels, "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
-    )
-    groups = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (
-        groups.groupBy("key")
-        .agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("size"))
-        .filter("kinds > 1 and size > 2")
-        .select("key", F.col("top.component").alias("largest"))
-    )
-    salted = placed.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    apart = pin(
-        salted_join(salted, mixed, ["key"], SALTS, "inner").drop("_salt").join(planes, "id"), "apart"
-    )
-    left, right = apart.drop("largest"), apart.filter("component != largest").select(
-        "key", F.col("id").alias("b"), F.col("component").alias("other"), F.col("planes").alias("y"), "largest"
-    )
-    across = (
-        left.join(right, "key")
-        .filter((F.col("component") != F.col("other")) & ((F.col("component") == F.col("largest")) | (F.col("id") < F.col("b"))))
-        .filter(estimate(F.col("planes"), F.col("y")) >= how.least_estimate)
-        .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    across = pin(across, "across")
-    if not across.isEmpty():
-        more = across.select("a").union(across.select("b")).distinct().withColumnRenamed("a", "doc_id")
-        own = docs.join(distinct.select(F.col("id").alias("doc_id")), "doc_id").join(more, "doc_id", "left_semi")
-        links = links.unionByName(pin(_confirmed(across, own.withColumnRenamed("doc_id", "id"), how), "links"))
+    shared = pin(salted_join(salted, keys, ["key"], SALTS, "inner"), "shared")
+    planes = distinct.select("id", "planes")
+
+    labels = links = tried = None
+    for step in range(how.hub_rounds + 1):
+        placed = _with_components(shared, labels)
+        met = pin(salted_join(placed, _mixed_buckets(placed, step), ["key"], SALTS, "inner"), "met")
+        shared = met.select("id", "key", "_salt")  # components only grow: other buckets are done
+        pairs = _to_hubs(met, planes, how) if step < how.hub_rounds else _across(met, planes, how)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = pin(pairs, "candidates")
+        if pairs.isEmpty() and step:
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = _confirmed(docs, pairs, how)
+        links = found if links is None else links.unionByName(found)
         labels = components(links)
 
-    named = (
-        distinct.select("fp", "id").join(labels, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    )
+    named = distinct.select("fp", "id").join(labels, "id", "left")
+    named = named.select("fp", F.coalesce("component", "id").alias("component"))
     rows = sketches.select("doc_id", "fp", "n_shingles").withColumn(
         "_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     )
