@@ -1,6 +1,6 @@
 import pytest
 
-from lexspan.session import pin, shared_dir, spread
+from lexspan.session import pin, scratch_path, scratch_scope, shared_dir, spread
 
 
 class Context:
@@ -38,6 +38,21 @@ def test_pinned_rows_do_not_change(spark):
     assert sorted(map(tuple, fixed.collect())) == sorted(map(tuple, fixed.collect()))
 
 
+def test_a_scope_leaves_nothing_behind(spark, tmp_path):
+    from pathlib import Path
+
+    with scratch_scope(spark):
+        inner = scratch_path(spark, "inner")
+        fixed = pin(spark.range(10).toDF("id"), "scoped")
+        fixed.write.parquet(str(tmp_path / "result"))
+        folder = Path(shared_dir(spark).removeprefix("file:"))
+        assert list(folder.glob("scoped-*"))
+    assert not list(folder.glob("scoped-*")) and not Path(inner).exists()
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 10
+    kept = pin(spark.range(3).toDF("id"), "unscoped")
+    assert kept.count() == 3 and list(folder.glob("unscoped-*"))
+
+
 def test_spreading_is_for_short_scans_only(spark):
     assert spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == 8
     many = spark.range(0, 10, 1, 20)
