@@ -24,8 +24,11 @@ from lexspan.operators.chunking import NaiveChunker, TopicChunker, chunk  # noqa
 from lexspan.operators.similarity import corpus_similarities  # noqa: E402
 from lexspan.plans import indexing  # noqa: E402
 from lexspan.plans.embedding import embed_dataset  # noqa: E402
-from lexspan.plans.retrieval import embed_query  # noqa: E402
-from lexspan.session import build_session, pin  # noqa: E402
+from lexspan.plans.retrieval import embed_query, retrieve  # noqa: E402
+from lexspan.session import build_session, pin, scratch_path  # noqa: E402
+
+# Small enough to cut the questions of the bench into several slices.
+BROADCAST_SLICE = 64 * 1024
 
 
 def consume(df: DataFrame) -> None:
