@@ -62,7 +62,7 @@ class Packing:
     end_id: int = 1
     windows: int = 96
     longest_piece: int = 256
-    slack: float = 0.0015
+    slack: float = 0.005
 
 
 def karmarkar_karp(sizes: np.ndarray, k: int) -> np.ndarray:
