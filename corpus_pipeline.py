@@ -15,6 +15,7 @@ from lexspan.llm.neardup import near_duplicates
 from lexspan.llm.packing import pack_documents
 from lexspan.llm.quality import judge, trusted_documents
 from lexspan.llm.secrets import find_secrets, redacted
+from lexspan.llm.text import where_computed
 from lexspan.session import pin
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,7 +23,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
-    return judge(docs.select(*COLUMNS), trusted_documents(spark, sf_dir)).filter("kept").select(*COLUMNS)
+    judged = judge(docs.select(*COLUMNS), trusted_documents(spark, sf_dir))
+    return where_computed(judged, F.col("kept")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
