@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 # One piece of work for a Python worker: at most this much text, or one row.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
