@@ -23,12 +23,15 @@ BASE = (("assign", ASSIGN), ("access", "AKIA[A-Z0-9]{14,}"), ("hex", "[0-9a-f]{1
 ASSIGNED = 12
 
 # What looks like a key to a program, but is none: worked examples and fill-ins, runs of one
-# character, counting or the alphabet, and paths of several steps.
+# character, counting or the alphabet, and paths of several steps. These last must be made of words:
+# base64 holds slashes, too.
+STEPS = r"/[^/]*/"
+_WORD = r"^(?:[A-Za-z]|[A-Z]*+|[A-Z]?[a-z]++|(?:[A-Z]?[a-z]{2,}+)++)[0-9]*+$"
 ALLOWED = (
     r"(?i)example|sample|placeholder|dummy|change_?me|your[_-]|xxxx|lorem",
     r"(.)\1{5}",
     r"(?i)0123456|1234567|abcdefg",
-    r"/[^/]*/",
+    STEPS,
 )
 _FIRST, _LAST = ord("+"), ord("z")
 
@@ -39,8 +42,10 @@ class Entropy:
 
     A candidate is a run of at least `window` characters of keys, with a digit and a letter. It is
     reported if the entropy of some window of it reaches the limit of its character class, in bits:
-    `hex_bits` if all its letters are a to f, else `key_bits`; and if no pattern in `allowed` is
-    found in it.
+    `hex_bits` if all its letters are a to f, else `key_bits`. Windows that overlap a match of a
+    pattern in `allowed` do not count, and none does if such matches make up more than half of the
+    run. With `STEPS` among the patterns, a run of several steps is judged by each step, as a string
+    of its own class, and as a whole only if some step is not made of words and numbers.
     """
 
     window: int = 20
@@ -103,14 +108,34 @@ def least_sum(codes: Column, how: Entropy) -> Column:
 
 def has_entropy(candidate: Column, how: Entropy) -> Column:
     """Whether a window of the string reaches the limit of its class. Null if it is no candidate."""
-    codes = F.transform(
-        F.sequence(F.lit(1), F.length(candidate)), lambda i: F.ascii(F.substr(candidate, i, F.lit(1))) - _FIRST
-    )
-    limit = F.when(candidate.rlike("^[0-9a-fA-F]+$"), how.limit(how.hex_bits)).otherwise(how.limit(how.key_bits))
-    fits = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")
+    rest = candidate  # with a blank for every allowed match
     for pattern in how.allowed:
-        fits &= ~candidate.rlike(pattern)
-    return F.when(fits, least_sum(codes, how) <= limit).otherwise(False)
+        if pattern != STEPS:
+            rest = F.regexp_replace(rest, pattern, " ")
+
+    def mixed(x: Column) -> Column:
+        return x.rlike("[0-9]") & x.rlike("[A-Za-z]")
+
+    def limit(x: Column) -> Column:
+        return F.when(x.rlike("^[0-9a-fA-F ]+$"), how.limit(how.hex_bits)).otherwise(how.limit(how.key_bits))
+
+    def reaches(string: Column, most: Column) -> Column:
+        def piece(x: Column) -> Column:
+            codes = F.transform(
+                F.sequence(F.lit(1), F.length(x)), lambda i: F.ascii(F.substr(x, i, F.lit(1))) - _FIRST
+            )
+            return F.when(F.length(x) >= how.window, least_sum(codes, how) <= most).otherwise(False)
+
+        return F.exists(F.split(string, " "), piece)
+
+    fits = mixed(candidate) & (2 * F.length(F.translate(rest, " ", "")) >= F.length(candidate))
+    whole = F.when(candidate.rlike("^[0-9a-fA-F]+$"), how.limit(how.hex_bits)).otherwise(how.limit(how.key_bits))
+    found = reaches(rest, whole)
+    if STEPS in how.allowed:
+        steps = F.exists(F.split(rest, "/"), lambda x: mixed(x) & reaches(x, limit(x)))
+        worded = F.forall(F.split(candidate, "[-_+/]+"), lambda x: x.rlike(_WORD))
+        found = F.when(candidate.rlike(STEPS), F.when(steps, True).when(worded, False).otherwise(found)).otherwise(found)
+    return F.when(fits, found).otherwise(False)
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"
