@@ -38,7 +38,8 @@ _UNIT = rf"{NUMBER}\s*({'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L
 class Templates:
     """Parameters.
 
-    width: tokens of a window; an item shorter than that is one window of its own length.
+    width: tokens of a window; an item shorter than that is one window of its own length. For an item
+    none of whose windows has enough literals it is doubled until one has.
     literals: least tokens of a window that are no placeholders.
     coverage: least share of an item's windows found in a document.
     consistency: least share of placeholder values that stand for one value.
@@ -80,7 +81,7 @@ def add_template(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("_slots", slots).drop("_t0", "_t1", "_t2", "_t3")
 
 
-def _windows(df: DataFrame, keep: list[str], width: int) -> DataFrame:
+def _windows(df: DataFrame, keep: list[str], width: int | Column) -> DataFrame:
     """One row for every window: `keep`, its place `pos` and `hash`."""
     hashes = F.transform(
         places(F.size("_tokens"), width), lambda i: F.xxhash64(F.slice("_tokens", i + 1, width))
@@ -88,23 +89,59 @@ def _windows(df: DataFrame, keep: list[str], width: int) -> DataFrame:
     return df.select(*keep, F.posexplode(hashes).alias("pos", "hash"))
 
 
-def _within(slots: str, pos: str, width: int) -> Column:
+def _within(slots: str, pos: str, width: int | Column) -> Column:
     return F.transform(
         F.filter(slots, lambda s: (s["at"] >= F.col(pos)) & (s["at"] < F.col(pos) + width)), lambda s: s["value"]
     )
 
 
+def _wide_enough(how: Templates) -> Column:
+    """The width of an item's windows: that of `how`, doubled until some window has its literals."""
+    size = F.size("_tokens")
+    widths = F.transform(
+        F.sequence(F.lit(0), F.lit(24)), lambda k: F.least(size, F.lit(how.width) * F.pow(F.lit(2), k)).cast("int")
+    )
+
+    def fits(width: Column) -> Column:
+        def literals(i: Column) -> Column:
+            return width - F.size(F.filter("_slots", lambda s: (s["at"] >= i) & (s["at"] < i + width)))
+
+        return F.exists(places(size, width), lambda i: literals(i) >= how.literals)
+
+    first = F.aggregate(
+        F.array_distinct(widths), F.lit(None).cast("int"), lambda acc, w: F.coalesce(acc, F.when(fits(w), w))
+    )
+    return F.coalesce(first, F.least(size, F.lit(how.width)))
+
+
 def benchmark_windows(items: DataFrame, how: Templates) -> DataFrame:
-    """hash, width, item_id, item_pos and item_values of all windows that may be searched."""
-    made = add_template(items.select(F.col("item_id").cast("bigint").alias("item_id"), "text"))
-    made = made.withColumn("width", F.least(F.size("_tokens"), F.lit(how.width)))
-    out = None
-    for width in range(how.literals, how.width + 1):
-        own = _windows(made.filter(F.col("width") == width), ["item_id", "width", "_slots"], width)
-        own = own.withColumn("item_values", _within("_slots", "pos", width)).drop("_slots")
-        out = own if out is None else out.unionByName(own)
-    enough = F.col("width") - F.size("item_values") >= how.literals
-    return out.filter(enough).withColumnRenamed("pos", "item_pos").distinct()
+    """hash, width, item_id, item_pos, item_values and first of all windows that may be searched.
+
+    Behind other text, the first word of an item may be a name. An item with a single window, at its
+    start, has a second one with that name in front; `first` is the value that it must have there.
+    """
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    made = add_template(items).withColumn("width", _wide_enough(how))
+    columns = ["item_id", "width", "item_values", "hash", "pos"]
+    own = _windows(made.filter(F.col("width") >= how.literals), ["item_id", "text", "width", "_slots"], F.col("width"))
+    own = own.withColumn("item_values", _within("_slots", "pos", F.col("width")))
+    own = own.filter(F.col("width") - F.size("item_values") >= how.literals)
+    alone = own.groupBy("item_id", "text").agg(F.max("pos").alias("pos"), F.max("width").alias("width"))
+    behind = add_template(
+        alone.filter("pos = 0").select("item_id", "width", F.concat(F.lit("a "), F.ltrim("text")).alias("text"))
+    )
+    behind = behind.filter(F.get("_tokens", F.lit(1)) == NAME).select(
+        "item_id",
+        F.least("width", F.size("_tokens") - 1).alias("width"),
+        F.slice("_tokens", 2, F.size("_tokens")).alias("_tokens"),
+        F.transform("_slots", lambda s: F.struct((s["at"] - 1).alias("at"), s["value"].alias("value"))).alias("_slots"),
+    )
+    named = _windows(behind, ["item_id", "width", "_slots"], F.col("width")).filter("pos = 0")
+    named = named.withColumn("item_values", _within("_slots", "pos", F.col("width")))
+    both = own.select(*columns, F.lit(None).cast("string").alias("first")).unionByName(
+        named.select(*columns, F.get("item_values", F.lit(0)).alias("first"))
+    )
+    return both.withColumnRenamed("pos", "item_pos").distinct()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, how: Templates | None = None) -> DataFrame:
@@ -115,7 +152,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, how: Templates | None = None)
     the item). `docs` needs doc_id and text, `items` item_id and text; other columns are not read.
 
     Null texts hold nothing, and rows without an id have one null id in common. Rows of one id are
-    taken together; repeated items are one. An item with fewer than `literals` words that are no
+    taken together; repeated items are one. A copy in another case is not
+    found where that makes other placeholders. An item with fewer than `literals` words that are no
     placeholders cannot be told from others and is not searched.
     """
     how = how or Templates()
@@ -125,7 +163,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, how: Templates | None = None)
     made = add_template(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     small = size <= how.broadcast_rows
     found = None
-    for row in known.select("width").distinct().orderBy("width").collect():  # at most the widths up to `width`
+    for row in known.select("width").distinct().orderBy("width").collect():  # up to `width`, and a few doubled
         own = known.filter(F.col("width") == row.width).drop("width")
         windows = _windows(made, ["doc_id", "_slots"], row.width)
         hits = windows.join(F.broadcast(own) if small else own, "hash").select(
@@ -133,11 +171,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, how: Templates | None = None)
             "item_id",
             "item_pos",
             (F.col("pos") - F.col("item_pos")).alias("shift"),
+            "first",
             F.transform(
                 F.arrays_zip(F.col("item_values").alias("x"), _within("_slots", "pos", row.width).alias("y")),
                 lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y")),
             ).alias("pairs"),
         )
+        # A first word that is a name only by what stands before it is none of the values.
+        named = F.col("first").isNotNull()
+        hits = hits.filter(~named | (F.get("pairs", F.lit(0))["y"] == F.col("first")))
+        hits = hits.withColumn("pairs", F.when(named, F.slice("pairs", 2, F.size("pairs"))).otherwise(F.col("pairs")))
+        hits = hits.drop("first")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame(

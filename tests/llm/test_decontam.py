@@ -91,6 +91,22 @@ def test_edges(spark):
     assert not any(i in (3, 4, 5, 6) for _, i in found)
 
 
+DENSE = "add 1 2 3 4 5 6 7 to 8 9 10 11 12 13 14 then 15 16 17 18 19 take 20 21 22 23 24 off 25 26 27"
+
+
+def test_items_without_a_plain_window(spark):
+    items = [(1, "What is the capital of France", ""), (2, DENSE, ""), (3, "Which river flows through the old town", "")]
+    texts = [
+        "so they asked, and What is the capital of France then", "What is the capital of France?", "and Who is the capital of France",
+        f"before. {DENSE} after.", "and What is the capital of Spain", "they said; Which river flows through the old town",
+        DENSE.replace("take", "give"),
+    ]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)
+    for how in (Templates(), Templates(broadcast_rows=0)):
+        found = {(r.doc_id, r.item_id): r.reparameterised for r in find_leaks(docs, spark.createDataFrame(items, ITEMS), how).collect()}
+        assert found == {(0, 1): False, (1, 1): False, (3, 2): False, (4, 1): True, (5, 3): False}
+
+
 def test_empty_tables(spark):
     none, items = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, PUZZLE, "")], ITEMS)
     assert find_leaks(none, items).count() == 0
