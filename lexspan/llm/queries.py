@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexspan.llm.conversations import op11_conversation_repair
 from lexspan.llm.ctw import op3_lm_scoring
 from lexspan.llm.decontam import op7_benchmark_leaks
 from lexspan.llm.langid import op6_language_id
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 SQL: dict[str, str] = {
