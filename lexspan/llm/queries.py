@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexspan.llm.bpe import op12_byte_bpe
 from lexspan.llm.conversations import op11_conversation_repair
 from lexspan.llm.ctw import op3_lm_scoring
 from lexspan.llm.decontam import op7_benchmark_leaks
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 SQL: dict[str, str] = {
