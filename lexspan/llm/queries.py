@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexspan.llm.bpe import op12_byte_bpe
+from lexspan.llm.codes import OP13_SQL, op13_vector_codes
 from lexspan.llm.conversations import op11_conversation_repair
 from lexspan.llm.ctw import op3_lm_scoring
 from lexspan.llm.decontam import op7_benchmark_leaks
@@ -29,10 +30,12 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
     "op1_secret_scan": secret_scan_sql(),
     "op5_token_counts": OP5_SQL,
     "op9_url_filter": url_filter_sql(),
+    "op13_vector_codes": OP13_SQL,
 }

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     want = con.sql(SQL[name])
     got = QUERIES[name](spark, SF)
