@@ -13,7 +13,7 @@ from lexspan.llm.packing import op10_packing
 from lexspan.llm.quality import op2_quality_rules
 from lexspan.llm.rollups import OP5_SQL, op5_token_counts
 from lexspan.llm.secrets import op1_secret_scan
-from lexspan.llm.sql import secret_scan_sql, url_filter_sql
+from lexspan.llm.sql import conversation_repair_sql, secret_scan_sql, url_filter_sql
 from lexspan.llm.toxicity import op8_toxicity
 from lexspan.llm.urls import op9_url_filter
 
@@ -37,5 +37,6 @@ SQL: dict[str, str] = {
     "op1_secret_scan": secret_scan_sql(),
     "op5_token_counts": OP5_SQL,
     "op9_url_filter": url_filter_sql(),
+    "op11_conversation_repair": conversation_repair_sql(),
     "op13_vector_codes": OP13_SQL,
 }

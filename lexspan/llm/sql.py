@@ -112,3 +112,91 @@ SELECT page_id, host, path, r[2] AS rule,
   coalesce(r[1], CASE WHEN purity < {how.threshold} THEN 'block' ELSE 'allow' END) AS verdict, template, purity
 FROM ruled JOIN branched USING (host, template) JOIN judged USING (host, branch)
 """
+
+
+def conversation_repair_sql() -> str:
+    """The repair of damaged conversations: the best way to every last role, one row after the other."""
+
+    def best(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    def more(way: str, cost: str, edit: str) -> str:
+        return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'e': {way}.e || '{edit}'}} END"
+
+    # One word for every last role: n(othing), s(ystem), u(ser), a(ssistant).
+    user = best("u", *(more(x, "5", "I") for x in "nsa"))
+    way = "STRUCT(c BIGINT, e VARCHAR)"
+
+    def after(role: str) -> str:
+        other = {"u": ("n", "s", "a"), "a": ("u",)}.get(role, ())
+        stay = f"CASE WHEN stays THEN {{}} END"
+        kept = [stay.format(f"CASE WHEN initial = '{role}' THEN {more(x, 'extra', 'K')} END") for x in other]
+        kept += [stay.format(more(x, "extra + 1", "R")) for x in other]
+        if role == "s":
+            kept = [stay.format(f"CASE WHEN initial = 's' THEN {more('n', 'extra', 'K')} END")]
+        return best(more(role, "2", "D"), *kept)
+
+    def opened(source: str) -> str:
+        """Inserts in front of the next row."""
+        return f"SELECT * REPLACE ({best('a', more('u', '5', 'I'))} AS a) FROM (SELECT * REPLACE ({user} AS u) FROM {source})"
+
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    crc = (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({key}, ''), lambda x: ord(x)::BIGINT)), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), "
+        "lambda a, i: xor(a >> 1, 3988292384::BIGINT * (a & 1)))), 4294967295::BIGINT)"
+    )
+    word = r"[^\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS kind FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM marked WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place FROM hurt),
+judged AS (
+  SELECT conv_id, turn, role, text, place, left(role, 1) AS initial, NOT regexp_matches(text, '{word}') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+    coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) NOT IN ('su', 'ua', 'au'),
+      false) AS unlawful FROM placed),
+line AS (
+  SELECT *, NOT (blank OR again) AS stays, CASE WHEN cut THEN 5 ELSE 0 END AS extra,
+    place = max(place) OVER (PARTITION BY conv_id) AS ends FROM judged),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS place, false AS ends, {{'c': 0::BIGINT, 'e': ''}}::{way} AS n, NULL::{way} AS s,
+    NULL::{way} AS u, NULL::{way} AS a FROM line WHERE place = 1
+  UNION ALL
+  SELECT conv_id, place, ends, {after("n")} AS n, {after("s")} AS s, {after("u")} AS u, {after("a")} AS a
+  FROM (SELECT w.* EXCLUDE (place, ends), l.place, l.ends, l.initial, l.stays, l.extra
+    FROM ({opened("ways")}) w JOIN line l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.place = w.place + 1)),
+cheapest AS (SELECT conv_id, {best("n", "a")} AS best FROM ({opened("ways")}) WHERE ends),
+edits AS (
+  SELECT conv_id, spot, best.e[spot] AS edit, sum(CASE best.e[spot] WHEN 'I' THEN 0 ELSE 1 END) OVER w AS place,
+    sum(CASE best.e[spot] WHEN 'D' THEN 0 ELSE 1 END) OVER w AS number
+  FROM (SELECT conv_id, best, unnest(range(1, length(best.e) + 1)) AS spot FROM cheapest)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY spot)),
+repaired AS (
+  SELECT e.conv_id, e.spot, CASE WHEN edit = 'K' THEN l.role
+      WHEN (number + max(CASE WHEN edit = 'K' AND l.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id)) % 2 = 1
+        THEN 'user' ELSE 'assistant' END AS role,
+    CASE edit WHEN 'I' THEN '' ELSE l.text END AS text
+  FROM edits e LEFT JOIN line l ON l.conv_id IS NOT DISTINCT FROM e.conv_id AND l.place = e.place WHERE edit <> 'D'),
+digests AS (
+  SELECT conv_id, sha256(string_agg(role || ':' || text, chr(10) ORDER BY spot)) AS digest FROM repaired GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+    count_if(again AND NOT blank) AS duplicate, count_if(cut AND NOT blank AND NOT again) AS truncated,
+    count_if(unlawful) AS illegal FROM judged GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.e, '') AS audit,
+  coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN cheapest b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
