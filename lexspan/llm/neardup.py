@@ -6,10 +6,12 @@ of a pair, corrected for chance agreement, estimate its similarity. What may be
 confirmed on the full shingle sets.
 
 Copies are one document until the end. Every member of a bucket is first compared with one hub, the
-smallest member of the largest component of the buckets it shares; then, between members that are
-still in different components, every pair of which one is outside the bucket's largest component.
-So a large group of near copies costs about one comparison per member, and no link between
-components is left out.
+smallest member of the largest component of the buckets it shares, so that a large group of near
+copies costs about one comparison per member. What is then still in different components is compared
+in blocks: members outside the largest component of a bucket, some hundreds in one task, against all
+members. First by bit counts, which tells the clusters of components that may be linked; then, within
+each cluster, by full shingle sets. A task gives out only what joins two components, never a row for
+every pair, and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ class NearDup:
     miss: largest probability that a pair at that similarity shares no band; the rows of a band
     follow from it. sigmas: standard errors of the estimate that a candidate may fall short by.
     hub_rounds: rounds of one comparison per member before all that is left apart is compared.
-    broadcast_ids: most ids of documents to confirm that are sent to the scan.
+    broadcast_ids: most ids of documents to confirm that are sent to the scan. block: members that
+    a task holds to compare others with; by full sets, at most half as many, and of block_bytes of text.
     """
 
     shingle: int = 5
@@ -51,6 +54,8 @@ class NearDup:
     sigmas: float = 4.5
     hub_rounds: int = 2
     broadcast_ids: int = 1_000_000
+    block: int = 512
+    block_bytes: int = 8 << 20
 
     @property
     def rows(self) -> int:
@@ -274,21 +279,170 @@ def _to_hubs(met: DataFrame, planes: DataFrame, how: NearDup) -> DataFrame:
     )
 
 
-def _across(met: DataFrame, planes: DataFrame, how: NearDup) -> DataFrame:
-    """All pairs of members of a bucket that are in different components and may be similar."""
-    apart = pin(met.drop("_salt", "hub").join(planes, "id"), "apart")
-    right = apart.filter("component != largest").select(
-        "key", F.col("id").alias("other"), F.col("component").alias("other_component"), F.col("planes").alias("y")
-    )
-    # Pairs outside the largest component are met twice; one of the two is enough.
-    once = (F.col("component") == F.col("largest")) | (F.col("id") < F.col("other"))
-    return (
-        apart.join(right, "key")
-        .filter((F.col("component") != F.col("other_component")) & once)
-        .filter(estimate(F.col("planes"), F.col("y")) >= how.least_estimate)
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        .distinct()
+class Block:
+    """Members outside the largest component, which others are compared with.
+
+    Components that meet in the block are merged as they go, so that the links found are a forest.
+    """
+
+    def __init__(self, ids: np.ndarray, components: np.ndarray):
+        self.ids, self.components = ids, components
+        self.roots = components.copy()
+        self.parent: dict[int, int] = {}
+
+    def _root(self, component: int) -> int:
+        while component in self.parent:
+            component = self.parent[component]
+        return component
+
+    def open(self, other: int, component: int, outside: bool) -> np.ndarray:
+        """The members that another one has still to be compared with. Two members outside the largest
+        component meet twice; one of the two is enough."""
+        apart = self.roots != self._root(component)
+        return apart & (other < self.ids) if outside else apart
+
+    def join(self, component: int, hits: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a component with those of the members hit, one for each two that are still apart."""
+        own, out = self._root(component), []
+        for at in np.flatnonzero(hits).tolist():
+            root = int(self.roots[at])
+            if root != own:
+                out.append((component, int(self.components[at])))
+                self.parent[root] = own
+                self.roots[self.roots == root] = own
+        return out
+
+
+class SketchBlock(Block):
+    """Compares by the bit planes of sketches and the sizes of the sets."""
+
+    def __init__(self, rows: pa.Table, how: NearDup):
+        super().__init__(rows.column("id").to_numpy(), rows.column("component").to_numpy().copy())
+        self.how = how
+        self.planes, self.sizes = self._loaded(rows)
+
+    @staticmethod
+    def _loaded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        planes = rows.column("planes").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return planes.view(np.uint64).reshape(rows.num_rows, -1), rows.column("n_shingles").to_numpy()
+
+    def links(self, rows: pa.Table) -> Iterator[tuple[int, int]]:
+        planes, sizes = self._loaded(rows)
+        ids, components, outside = (rows.column(c).to_numpy() for c in ("id", "component", "outside"))
+        step = max(1, (1 << 20) // len(self.ids))
+        for at in range(0, len(ids), step):
+            part = slice(at, at + step)
+            differing = np.zeros((len(self.ids), len(ids[part])), dtype=np.int64)
+            for k in range(WORDS_PER_PLANE):
+                low, high = (self.planes[:, j, None] ^ planes[None, part, j] for j in (k, k + WORDS_PER_PLANE))
+                differing += np.bitwise_count(low | high)
+            small = np.minimum(self.sizes[:, None], sizes[None, part])
+            large = np.maximum(self.sizes[:, None], sizes[None, part])
+            alike = (1 - differing / MINIMA - 0.25) / 0.75 >= self.how.least_estimate
+            alike &= 100 * small >= self.how.percent * large
+            for i in np.flatnonzero(alike.any(axis=0)).tolist():
+                other = at + i
+                wanted = self.open(int(ids[other]), int(components[other]), bool(outside[other]))
+                yield from self.join(int(components[other]), alike[:, i] & wanted)
+
+
+class SetBlock(Block):
+    """Compares by full shingle sets, through one sorted list of the shingles of all members."""
+
+    def __init__(self, rows: pa.Table, how: NearDup):
+        super().__init__(rows.column("id").to_numpy(), rows.column("component").to_numpy().copy())
+        self.how, self.shingles = how, Shingles(how.shingle)
+        sets = self.shingles(as_bytes(rows.column("text").combine_chunks()))
+        self.sizes = np.array([len(s) for s in sets])
+        every, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.every, self.owners = every[order], owners[order]
+
+    def _common(self, own: np.ndarray) -> np.ndarray:
+        """How many shingles each member has in common with a set."""
+        first = np.searchsorted(self.every, own, "left")
+        count = np.searchsorted(self.every, own, "right") - first
+        found = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(self.owners[found], minlength=len(self.ids))
+
+    def links(self, rows: pa.Table) -> Iterator[tuple[int, int]]:
+        names = ("id", "component", "outside")
+        for batch in sliced(rows.to_batches(), "text"):
+            ids, components, outside = (batch.column(c).to_pylist() for c in names)
+            sets: list[np.ndarray] | None = None
+            for i, other in enumerate(ids):
+                wanted = self.open(other, components[i], outside[i])
+                if wanted.any():
+                    if sets is None:
+                        sets = self.shingles(as_bytes(batch.column("text")))
+                    both = self._common(sets[i])
+                    hits = 100 * both >= self.how.percent * (self.sizes + len(sets[i]) - both)
+                    yield from self.join(components[i], wanted & hits & (both > 0))
+
+
+def block_batches(kind: type[SketchBlock] | type[SetBlock], how: NearDup):
+    """Links (a, b) between the components of rows that come by group and block, members to hold first."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            groups, blocks, held_rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "block", "held"))
+            change = np.flatnonzero((groups[1:] != groups[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(groups)], strict=True):
+                if hi == lo:
+                    continue
+                if key != (groups[lo], blocks[lo]):
+                    key, held, block = (groups[lo], blocks[lo]), [], None
+                cut = lo + int(held_rows[lo:hi].sum())
+                if cut > lo:
+                    held.append(batch.slice(lo, cut - lo))
+                if cut < hi:
+                    if block is None:
+                        block = kind(pa.Table.from_batches(held), how)
+                    out += block.links(pa.Table.from_batches([batch.slice(cut, hi - cut)]))
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return compare
+
+
+def _in_blocks(members: DataFrame, kind: type[SketchBlock] | type[SetBlock], blocks: Column, how: NearDup) -> DataFrame:
+    """Links (a, b) between components of a group's members (grp, id, component, largest, and what is
+    compared). `blocks` tells from the members outside the largest component how many hold them.
+
+    A member outside is held by one block; every member goes to all blocks of its group.
+    """
+    members = members.withColumn("outside", F.col("component") != F.col("largest")).drop("largest")
+    needed = members.filter("outside").groupBy("grp").agg(blocks.cast("int").alias("blocks"))
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    sized = pin(salted_join(salted, needed, ["grp"], SALTS, "inner").drop("_salt"), "members")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    held = sized.filter("outside").withColumn("block", own).withColumn("held", F.lit(True))
+    others = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = held.unionByName(others.withColumn("held", F.lit(False))).drop("blocks")
+    by_block = both.repartition("grp", "block").sortWithinPartitions("grp", "block", F.desc("held"))
+    return by_block.mapInArrow(block_batches(kind, how), "a bigint, b bigint")
+
+
+def _across(docs: DataFrame, met: DataFrame, sketches: DataFrame, how: NearDup) -> DataFrame:
+    """Links between members of a bucket that are in different components, if their sets are similar
+    enough; between any two components, enough of them to join what belongs together."""
+    apart = met.select(F.col("key").alias("grp"), "id", "component", "largest").join(sketches, "id")
+    count = F.ceil(F.count(F.lit(1)) / how.block)
+    possible = pin(_in_blocks(apart, SketchBlock, count, how).distinct(), "possible")
+    clusters = components(possible).select(F.col("id").alias("component"), F.col("component").alias("grp"))
+    # Every member of a bucket whose component may be linked with another one.
+    members = pin(met.select("id", "component").distinct().join(clusters, "component"), "clusters")
+    top = F.max(F.struct("n", "component"))["component"].alias("largest")
+    largest = members.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(top)
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    members = pin(salted_join(salted, largest, ["grp"], SALTS, "inner").drop("_salt"), "members")
+    texts = _asked_texts(docs, members.select(F.col("id").alias("a"), F.col("id").alias("b")), how)
+    count = F.greatest(
+        F.ceil(2 * F.count(F.lit(1)) / how.block), F.ceil(F.sum(F.octet_length("text")) / how.block_bytes)
     )
+    return pin(_in_blocks(members.join(texts, "id"), SetBlock, count, how).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, how: NearDup | None = None) -> DataFrame:
@@ -305,7 +459,9 @@ def near_duplicates(docs: DataFrame, how: NearDup | None = None) -> DataFrame:
     distinct = pin(
         sketches.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("fp")
-        .agg(F.min("doc_id").alias("id"), F.first("planes").alias("planes"), F.first("bands").alias("bands")),
+        .agg(
+            F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "planes", "bands")]
+        ),
         "distinct",
     )
     members = distinct.select("id", F.explode("bands").alias("key"))
@@ -319,14 +475,15 @@ def near_duplicates(docs: DataFrame, how: NearDup | None = None) -> DataFrame:
         placed = _with_components(shared, labels)
         met = pin(salted_join(placed, _mixed_buckets(placed, step), ["key"], SALTS, "inner"), "met")
         shared = met.select("id", "key", "_salt")  # components only grow: other buckets are done
-        pairs = _to_hubs(met, planes, how) if step < how.hub_rounds else _across(met, planes, how)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pin(pairs, "candidates")
-        if pairs.isEmpty() and step:
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _confirmed(docs, pairs, how)
+        if step < how.hub_rounds:
+            pairs = _to_hubs(met, planes, how)
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pin(pairs, "candidates")
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            found = _confirmed(docs, pairs, how)
+        else:
+            found = _across(docs, met, distinct.select("id", "n_shingles", "planes"), how)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
 

@@ -71,6 +71,19 @@ def test_edges(spark):
         assert sorted(map(tuple, near_duplicates(frame, how).collect())) == brute(docs, how)
 
 
+def test_small_blocks_find_every_link(spark):
+    """A group whose pairs lie around the limit, over many blocks, with no or one round of hubs."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    docs = [(rng.randrange(10**6) * 200 + i, " ".join(changed(rng, base, rng.randrange(9)))) for i in range(160)]
+    frame = spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS).repartition(4)
+    plain = brute(docs, NearDup(3, 85))
+    assert 5 < len({c for _, _, c, _ in plain}) < 150
+    for rounds, block, size in ((0, 8, 4000), (1, 512, 1 << 20)):
+        how = NearDup(3, 85, hub_rounds=rounds, block=block, block_bytes=size)
+        assert sorted(map(tuple, near_duplicates(frame, how).collect())) == plain
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (7, "a b c d"), (None, "A b c d"), (None, "alone and without id"), (None, None)]
     got = near_duplicates(spark.createDataFrame([(*r, "", "") for r in rows], DOCS), NearDup(3, 85)).collect()
