@@ -40,11 +40,35 @@ def hashed_words(words_column: Column) -> Column:
     return F.transform(words_column, lambda w: F.xxhash64(w))
 
 
-def features(hashes: str, buckets: int) -> Column:
-    """The buckets of all single words and all pairs of neighbours. `hashes` names a column."""
-    h, mask = F.col(hashes), F.lit(buckets - 1).cast("bigint")
-    pairs = F.transform(places(F.size(h), 2), lambda i: F.xxhash64(h[i], h[i + 1]).bitwiseAND(mask))
-    return F.concat(F.transform(h, lambda x: x.bitwiseAND(mask)), pairs)
+def bucket(hashed: Column, buckets: int) -> Column:
+    return hashed.bitwiseAND(F.lit(buckets - 1).cast("bigint"))
+
+
+def feature_rows(docs: DataFrame, words_column: Column, buckets: int) -> DataFrame:
+    """One row with the `bucket` of every single word and of every pair of neighbours.
+
+    The words are set beside their followers and exploded, so that hashing is compiled code.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    zipped = F.arrays_zip(F.col("_words").alias("w"), F.slice("_words", 2, F.greatest(F.size("_words"), F.lit(1))).alias("next"))
+    rows = docs.select(*others, words_column.alias("_words")).select(*others, F.explode(zipped).alias("_pair"))
+    own = F.xxhash64("_pair.w")
+    # The pair of the last word has no follower.
+    pair = F.when(F.col("_pair.next").isNotNull(), F.xxhash64(own, F.xxhash64("_pair.next")))
+    both = F.explode(F.array(bucket(own, buckets), bucket(pair, buckets))).alias("bucket")
+    return rows.select(*others, both).filter("bucket is not null")
+
+
+def score(hashes: str, table: str, buckets: int) -> Column:
+    """The mean table entry of the buckets of all single words and pairs of neighbours; 0 of none."""
+    h, t = F.col(hashes), F.col(table)
+    n = F.size(h)
+
+    def add(acc: Column, i: Column) -> Column:
+        pair = F.xxhash64(h[i], F.get(h, i + 1))
+        return acc + t[bucket(h[i], buckets)] + F.when(i + 1 < n, t[bucket(pair, buckets)]).otherwise(0.0)
+
+    return F.aggregate(places(n, 1), F.lit(0.0), add) / F.greatest(2 * n - 1, F.lit(1))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, how: Quality) -> DataFrame:
@@ -64,8 +88,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, how: Quality) -> DataFrame:
         F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left"
     )
     counts = (
-        marked.select(F.col("_id").isNotNull().alias("own"), hashed_words(words(F.col("text"))).alias("h"))
-        .select("own", F.explode(features("h", how.buckets)).alias("bucket"))
+        feature_rows(marked.select(F.col("_id").isNotNull().alias("own"), "text"), words(F.col("text")), how.buckets)
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count_if("own").alias("target"))
     )
@@ -90,50 +113,45 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, how: Quality) -> DataFrame:
     )
 
 
-def repeated_words(words_column: str, width: int = 5) -> Column:
-    """Words that lie in a window of `width` words found twice or more in the text.
+def with_repeated_words(docs: DataFrame, words_column: str, hashes: str, width: int = 5) -> DataFrame:
+    """Add `n_repeat_words`: words that lie in a window of `width` words found twice or more in the text.
 
-    Hashes only decide whether there may be any; the windows themselves are then compared.
+    A window is hashed from the hashes of its words. Where a hash repeats, and only there, the windows
+    themselves are compared.
     """
-    w = F.col(words_column)
-    n = F.size(w)
-    starts = places(n, width)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i + 1, width)))
-    # Words hold no blank, so joined windows are equal only if all their words are.
-    windows = F.transform(
-        starts, lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, width)).alias("w"), i.alias("i"))
-    )
-    nothing = F.struct(F.lit(None).cast("string").alias("w"), F.lit(-1).alias("i"))
-    # Sorted, equal windows are neighbours: fold over them, keep the places of those that repeat.
-    ordered = F.array_append(F.sort_array(windows), nothing)
-    twice = F.transform(
-        F.filter(
-            F.transform(
-                F.arrays_zip(
-                    F.slice(ordered, 1, F.size(starts)).alias("x"),
-                    F.slice(ordered, 2, F.size(starts)).alias("after"),
-                    F.array_insert(F.slice(ordered, 1, F.size(starts) - 1), 1, nothing).alias("before"),
-                ),
-                lambda z: F.struct(
-                    z["x"]["i"].alias("i"),
-                    (
-                        F.coalesce(z["x"]["w"] == z["after"]["w"], F.lit(False))
-                        | F.coalesce(z["x"]["w"] == z["before"]["w"], F.lit(False))
-                    ).alias("twice"),
-                ),
-            ),
-            lambda z: z["twice"],
-        ),
-        lambda z: z["i"],
-    )
+    w, h = F.col(words_column), F.col(hashes)
+    starts = places(F.size(h), width)
+    pairs, again, texts, twice = (F.col(c) for c in ("_pairs", "_again", "_texts", "_twice"))
+
+    def repeated(column: Column, key: str) -> Column:
+        """The elements of a sorted array whose key is that of a neighbour."""
+        return F.filter(
+            column,
+            lambda x, i: F.coalesce(x[key] == F.get(column, i - 1)[key], F.lit(False))
+            | F.coalesce(x[key] == F.get(column, i + 1)[key], F.lit(False)),
+        )
+
+    def window(x: Column) -> Column:
+        # Words hold no blank, so joined windows are equal only if all their words are.
+        return F.struct(F.concat_ws(" ", F.slice(w, x["i"] + 1, width)).alias("w"), x["i"].alias("i"))
+
+    by_hash = F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     covered = F.aggregate(
-        F.sort_array(twice),
+        F.sort_array(F.transform(twice, lambda x: x["i"])),
         F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last")),
         lambda acc, i: F.struct((acc["n"] + F.least(i - acc["last"], F.lit(width))).alias("n"), i.alias("last")),
         lambda acc: acc["n"],
     )
-    repeats = F.size(F.array_distinct(hashes)) < F.size(starts)
-    return F.when(repeats, covered).otherwise(0).cast("bigint")
+    # Null from the first step on where no hash repeats, as in most texts.
+    return (
+        docs.withColumn("_windows", F.transform(starts, lambda i: F.xxhash64(*[h[i + j] for j in range(width)])))
+        .withColumn("_pairs", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), by_hash))
+        .withColumn("_again", F.when(pairs.isNotNull(), repeated(pairs, "h")))
+        .withColumn("_texts", F.when(again.isNotNull(), F.sort_array(F.transform(again, window))))
+        .withColumn("_twice", F.when(texts.isNotNull(), repeated(texts, "w")))
+        .withColumn("n_repeat_words", F.when(twice.isNotNull(), covered).otherwise(0).cast("bigint"))
+        .drop("_windows", "_pairs", "_again", "_texts", "_twice")
+    )
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -144,17 +162,16 @@ def measure(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    return (
+    counted = (
         docs.withColumn("_words", words(F.col("text")))
         .withColumn("n_words", F.size("_words").cast("bigint"))
         .withColumn("word_chars", F.length(F.concat_ws("", "_words")).cast("bigint"))
         .withColumn("n_symbols", F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint"))
         .withColumn("_lines", lines)
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"))
-        .withColumn("n_repeat_words", repeated_words("_words"))
         .withColumn("_hashes", hashed_words(F.col("_words")))
-        .drop("_words", "_lines")
     )
+    return with_repeated_words(counted, "_words", "_hashes").drop("_words", "_lines")
 
 
 def judge(docs: DataFrame, trusted: DataFrame, how: Quality | None = None) -> DataFrame:
@@ -172,18 +189,13 @@ def judge(docs: DataFrame, trusted: DataFrame, how: Quality | None = None) -> Da
     failed = (n < how.min_words) | (100 * F.col("n_repeat_words") > how.repeat_percent * n)
     scored = (
         measure(docs)
-        .withColumn("_features", features("_hashes", how.buckets))
         .withColumn("_table", table)
-        .withColumn(
-            "llr",
-            F.aggregate("_features", F.lit(0.0), lambda acc, b: acc + F.col("_table")[b])
-            / F.greatest(F.size("_features"), F.lit(1)),
-        )
+        .withColumn("llr", score("_hashes", "_table", how.buckets))
     )
     return (
         scored.withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= how.threshold))
-        .drop("_features", "_hashes", "_table")
+        .drop("_hashes", "_table")
     )
 
 
