@@ -16,7 +16,7 @@ from lexspan.llm.packing import pack_documents
 from lexspan.llm.quality import judge, trusted_documents
 from lexspan.llm.secrets import find_secrets, redacted
 from lexspan.llm.text import where_computed
-from lexspan.session import pin
+from lexspan.session import pin, scratch_path, scratch_scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,28 +27,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return where_computed(judged, F.col("kept")).select(*COLUMNS)
 
 
+def _with_row_key(docs: DataFrame) -> DataFrame:
+    """The documents with a number `_row` of their own, written once: ids may be null or repeat."""
+    return pin(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, and one row of each id.
+    """One document of each group of near duplicates stays: that of the least id, null ids last.
 
-    Rows without an id stay if they are nobody's copy. Only ids are compared: the texts of those that
-    go are found by a narrow anti-join.
+    Rows are told apart by a key of their own. So rows without an id are compared like any other, rows
+    of one id and unlike texts all stay, and documents without words do, too. Only keys are compared in
+    the end: the texts of those that go are found by a narrow anti-join.
     """
-    docs = docs.select(*COLUMNS)
-    gone = near_duplicates(docs).filter(~F.col("kept"))
-    unnamed = docs.filter("doc_id is null")
-    named = docs.filter("doc_id is not null")
-    again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    repeated = named.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    single = named.join(again, "doc_id", "left_anti").unionByName(repeated)
-    kept = single.join(gone.select("doc_id").dropna().distinct(), "doc_id", "left_anti")
-    return kept.unionByName(unnamed).select(*COLUMNS)
+    keyed = _with_row_key(docs)
+    groups = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    groups = groups.filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    named = groups.join(keyed.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("_row"))
+    stays = named.groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    gone = groups.join(stays, "_row", "left_anti").select("_row")
+    return keyed.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, with its values or others, go."""
+    """Documents that hold a benchmark item, with its values or others, go, with or without an id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = find_leaks(docs, items).select("doc_id").dropna().distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = _with_row_key(docs)
+    leaks = find_leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), items)
+    return keyed.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +85,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed windows of `documents`. What a stage wrote on the way is deleted after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = pin(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
