@@ -34,7 +34,8 @@ from catalog.tables import (
 )
 from lexspan.functions import vectors as vx
 from lexspan.functions.text import document_key, word_count
-from lexspan.operators import ann, embedding, knn, metrics
+from lexspan.operators import ann, embedding, graph, knn, metrics, pq, pruned
+from lexspan.operators.arrow import to_matrix
 from lexspan.operators.chunking import NaiveChunker, chunk
 from lexspan.operators.models import BATCH_SIZE, SHARDED_BATCH_SIZE, DummyModel
 from lexspan.operators.ordinals import running_totals
@@ -44,6 +45,7 @@ from lexspan.plans.embedding import chunk_dataset
 from lexspan.plans.embedding import embed_dataset as embed_corpus
 from lexspan.plans.retrieval import embed_query as embed_questions
 from lexspan.plans.retrieval import retrieve as retrieve_chunks
+from lexspan.plans.segments import SegmentedIndex
 from lexspan.session import pin, scratch_path
 from lexspan.sources.writers import report_lines, save_report
 from lexspan.streaming.ingest import document_stream, read_ingested
@@ -325,6 +327,88 @@ def knn_approx_all_cells(spark: SparkSession, sf: str) -> DataFrame:
     return _hit_columns(ann.knn_approx(stored, asked, centres, nprobe=len(centres)))
 
 
+@query(
+    "knn_pruned",
+    with_(INDEX_SQL, QUESTIONS_SQL, nearest("hits", "asked_vec"))
+    + "SELECT query_id, index_id, round(distance, 6) AS distance, rank FROM hits",
+)
+def knn_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact search over a written index that leaves out cells which are too far away."""
+    stored, centres = _written_cells(spark, sf)
+    asked = embed_questions(questions(spark, sf), MODEL)
+    return _hit_columns(pruned.knn_pruned(stored, asked, centres).hits)
+
+
+_SEARCHED = """counted AS (SELECT (SELECT count(*) FROM asked) AS queries, (SELECT count(*) FROM ix) AS rows)
+SELECT queries, least(rows, 5) * queries AS exact_hits, true AS recall_reached, true AS fewer_rows FROM counted"""
+
+
+def _search_report(hits: DataFrame, exact: DataFrame, report: DataFrame, rows: int, least: float) -> DataFrame:
+    """Recall against the exact hits, and whether less than all rows were compared for a query."""
+    found = ann.recall(hits, exact)
+    read = report.agg(F.count(F.lit(1)).alias("queries"), (F.avg("rows") < rows).alias("fewer_rows"))
+    both = found.withColumn("_one", F.lit(1)).join(read.withColumn("_one", F.lit(1)), "_one")
+    return both.select("queries", "exact_hits", (F.col("recall") >= least).alias("recall_reached"), "fewer_rows")
+
+
+@query("knn_pruned_report", with_(INDEX_SQL, QUESTIONS_SQL) + "," + _SEARCHED)
+def knn_pruned_report(spark: SparkSession, sf: str) -> DataFrame:
+    stored, centres = _written_cells(spark, sf)
+    asked = embed_questions(questions(spark, sf), MODEL)
+    search = pruned.knn_pruned(stored, asked, centres)
+    return _search_report(search.hits, knn.knn_batch(stored, asked), search.report, stored.count(), 1.0)
+
+
+@query("knn_graph", with_(INDEX_SQL, QUESTIONS_SQL) + "," + _SEARCHED)
+def knn_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The search over a neighbour graph against the exact one."""
+    vectors = pin(chunk_index(spark, sf).select("index_id", "embedding"), "vectors")
+    asked = pin(embed_questions(questions(spark, sf), MODEL), "asked")
+    search = graph.knn_graph(graph.build_graph(vectors), asked)
+    return _search_report(search.hits, knn.knn_batch(vectors, asked), search.report, vectors.count(), 0.95)
+
+
+@query(
+    "pq_codes",
+    """WITH cut AS (
+      SELECT vec_id, p, list_transform(embedding[p * 8 + 1:p * 8 + 8], lambda x: CAST(x AS DOUBLE)) AS x
+      FROM embeddings, unnest(range(8)) AS t(p)),
+    books AS (SELECT p, x AS c, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM cut
+      WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 16))
+    SELECT vec_id, string_agg(lower(printf('%02x', CAST(e AS INT))), '' ORDER BY p) AS code FROM (
+      SELECT vec_id, p, arg_min(e, [list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))),
+        CAST(e AS DOUBLE)]) AS e FROM cut JOIN books USING (p) GROUP BY vec_id, p) GROUP BY vec_id""",
+)
+def pq_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes by given codebooks: the parts of the first sixteen vectors."""
+    vectors = table(spark, sf, "embeddings")
+    first = vectors.orderBy("vec_id").limit(16).toArrow()
+    books = to_matrix(first.column("embedding")).reshape(first.num_rows, 8, -1).transpose(1, 0, 2)
+    return pq.encode(vectors, books).select("vec_id", F.lower(F.hex("code")).alias("code"))
+
+
+@query(
+    "knn_compressed",
+    with_(INDEX_SQL, QUESTIONS_SQL)
+    + """, counted AS (SELECT (SELECT count(*) FROM asked) AS queries, (SELECT count(*) FROM ix) AS rows)
+    SELECT least(rows, 5) * queries AS exact_hits, true AS recall_reached, 16::BIGINT AS bytes_per_code,
+      256::BIGINT AS bytes_per_vector FROM counted""",
+)
+def knn_compressed(spark: SparkSession, sf: str) -> DataFrame:
+    """The search over compressed vectors against the exact one."""
+    vectors = pin(chunk_index(spark, sf).select("index_id", "embedding"), "vectors")
+    asked = pin(embed_questions(questions(spark, sf), MODEL), "asked")
+    books = pq.train_codebooks(vectors, parts=16, entries=64)
+    coded = pin(pq.encode(vectors, books).select("index_id", "code"), "codes")
+    found = ann.recall(pq.knn_compressed(coded, vectors, asked, books), knn.knn_batch(vectors, asked))
+    sizes = coded.agg(F.max(F.octet_length("code")).cast("long").alias("bytes_per_code"))
+    width = vectors.agg((4 * F.max(F.size("embedding"))).cast("long").alias("bytes_per_vector"))
+    joined = found
+    for part in (sizes, width):
+        joined = joined.withColumn("_one", F.lit(1)).join(part.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return joined.select("exact_hits", (F.col("recall") >= 0.95).alias("recall_reached"), "bytes_per_code", "bytes_per_vector")
+
+
 @query(
     "embed_query",
     with_(QUESTIONS_SQL)
@@ -416,11 +500,23 @@ def token_budget(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("index_id", "num_tokens", "tokens_before")
 
 
+# Documents gather in order until a request has 800 chunks.
+_GATHERED = """sizes AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, count(*) AS n, min(index_id) AS first_id
+  FROM ix GROUP BY doc_id),
+gathered AS (
+  SELECT place, n, first_id, n AS held, 0::BIGINT AS request_id FROM sizes WHERE place = 1
+  UNION ALL
+  SELECT s.place, s.n, s.first_id, CASE WHEN g.held >= 800 THEN s.n ELSE g.held + s.n END,
+    g.request_id + CAST(g.held >= 800 AS BIGINT)
+  FROM gathered g JOIN sizes s ON s.place = g.place + 1)"""
+
+
 @query(
     "request_batches",
-    with_(INDEX_SQL)
-    + """SELECT CAST((index_id - chunk_idx) // 800 AS BIGINT) AS request_id, count(*) AS chunks,
-           count(DISTINCT doc_id) AS documents, min(index_id) AS first_index_id FROM ix GROUP BY 1""",
+    with_(INDEX_SQL, _GATHERED, recursive=True)
+    + """SELECT request_id, CAST(sum(n) AS BIGINT) AS chunks, count(*) AS documents, min(first_id) AS first_index_id
+         FROM gathered GROUP BY request_id""",
 )
 def request_batches(spark: SparkSession, sf: str) -> DataFrame:
     d = wide_documents(spark, sf).withColumnRenamed("text", "unofficial_text_en")
@@ -447,6 +543,26 @@ def build_index(spark: SparkSession, sf: str) -> DataFrame:
     return built.select("index_id", "document_id", F.round("norm", 6).alias("norm"), "cell")
 
 
+@query(
+    "index_segments",
+    with_(INDEX_SQL)
+    + """SELECT index_id, document_id, md5(chunk) AS chunk_md5 FROM ix
+         WHERE index_id % 7 <> 0 OR index_id % 14 = 0""",
+)
+def index_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """An index made by appending in three steps, removing, merging and replacing."""
+    built = pin(chunk_index(spark, sf).drop("embedding"), "records")
+    own = F.col("index_id")
+    index = SegmentedIndex(spark, scratch_path(spark, "segments"))
+    for step in range(3):
+        index.append(built.where(own % 3 == step))
+    index.remove(built.where(own % 7 == 0))
+    index.merge()
+    index.replace(built.where(own % 14 == 0))
+    index.replace(built.where(own % 5 == 1).where(own % 7 != 0))
+    return index.read().select("index_id", "document_id", F.md5("unofficial_text_en").alias("chunk_md5"))
+
+
 _BODIES = """kept AS (
   SELECT *, row_number() OVER w - 1 AS doc_idx,
     row_number() OVER w - 1 AS doc_idx_en,

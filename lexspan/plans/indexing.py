@@ -125,13 +125,57 @@ def numbered_chunk_ids(
     return rows.select(index_id, "doc_ordinal", CHUNK_IDX, *metadata)
 
 
+def request_starts(documents: DataFrame, size: int = REQUEST_CHUNKS) -> DataFrame:
+    """The documents that open a request: `doc_ordinal`, `first_id`.
+
+    `documents` has doc_ordinal, first_id (chunks before the document) and `n` chunks, at least one.
+    Whole documents gather until a request has `size` chunks or more. So a request that opens at chunk s
+    ends with the document that holds chunk s + size - 1; where each one would end is found by a
+    join on ranges of chunks, and which ones are opened by pointer doubling from the first document: the
+    documents reached in 1, 2, 4, ... requests. Eager: a table is written for every doubling.
+    """
+    last = F.col("first_id") + F.col("n") - 1
+    ranges = F.sequence(F.floor(F.col("first_id") / size), F.floor(last / size))
+    # A document is in every range of `size` chunks that it reaches into.
+    holds = documents.select(
+        F.col("first_id").alias("_from"), (last + 1).alias("_to"), F.explode(ranges).alias("_range")
+    )
+    sought = documents.select("first_id", (F.col("first_id") + size - 1).alias("_sought"))
+    sought = sought.withColumn("_range", F.floor(F.col("_sought") / size))
+    inside = (F.col("_sought") >= F.col("_from")) & (F.col("_sought") < F.col("_to"))
+    ends = sought.join(holds, "_range").where(inside).select("first_id", F.col("_to").alias("next"))
+    # Only places that some request ends at can be opened, beside the first.
+    places = documents.select("first_id")
+    ends = pin(ends.join(places.withColumnRenamed("first_id", "next"), "next", "left_semi"), "request-ends")
+    jumps = [ends]
+    while True:
+        # From the places reached by a jump, the same jump again.
+        twice = jumps[-1].select("first_id", F.col("next").alias("_mid"))
+        onward = jumps[-1].select(F.col("first_id").alias("_mid"), "next")
+        longer = pin(twice.join(onward, "_mid").select("first_id", "next"), "request-ends")
+        if longer.isEmpty():
+            break
+        jumps.append(longer)
+    opened = places.agg(F.min("first_id").alias("first_id")).dropna()
+    for jump in reversed(jumps):
+        reached = jump.join(opened, "first_id", "left_semi").select(F.col("next").alias("first_id"))
+        opened = pin(opened.unionByName(reached), "request-starts")
+    return documents.join(opened, "first_id", "left_semi").select("doc_ordinal", "first_id")
+
+
 def request_batches(chunks: DataFrame, size: int = REQUEST_CHUNKS) -> DataFrame:
-    """Add the request that carries each chunk; whole documents stay together.
+    """Add the request (`request_id`) that carries each chunk; whole documents stay together.
 
-    A document goes with the request that its first chunk falls into.
+    Documents gather until a request has `size` chunks or more; the next document opens a new one.
+    Only one row per document takes part in finding that out.
     """
-    first = F.col("index_id") - F.col(CHUNK_IDX)
-    return chunks.withColumn("request_id", F.floor(first / size))
+    first = F.min(F.col("index_id") - F.col(CHUNK_IDX)).alias("first_id")
+    documents = pin(chunks.groupBy("doc_ordinal").agg(first, F.count(F.lit(1)).alias("n")), "documents")
+    starts = request_starts(documents, size).select("doc_ordinal", F.lit(1).alias("_opens"))
+    marked = documents.join(starts, "doc_ordinal", "left").withColumn("_opens", F.coalesce("_opens", F.lit(0)))
+    before = running_totals(marked, ["doc_ordinal"], {"_before": F.col("_opens")}, carry={"_own": F.col("_opens")})
+    request = before.select("doc_ordinal", (F.col("_before") + F.col("_own") - 1).alias("request_id"))
+    return chunks.join(request, "doc_ordinal")
 
 
 def create_index(
