@@ -134,8 +134,7 @@ def save_csv_sample(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "incremental_save",
+_STEPS_SQL = (
     with_(
         CORPUS_SQL,
         "kept AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx FROM corpus "
@@ -144,8 +143,11 @@ def save_csv_sample(spark: SparkSession, sf: str) -> DataFrame:
             SELECT doc_idx, unofficial_text_fr FROM kept WHERE unofficial_text_fr <> '')""",
         naive_chunks("c", "bodies", cols="doc_idx"),
     )
-    + "SELECT CAST(doc_idx // 640 AS BIGINT) AS save_id, count(*) AS chunks FROM c GROUP BY 1",
+    + "SELECT CAST(doc_idx // 640 AS BIGINT) AS save_id, count(*) AS chunks FROM c GROUP BY 1"
 )
+
+
+@query("incremental_save", _STEPS_SQL)
 def incremental_save(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "steps")
     writers.incremental_save(chunk_dataset(corpus(spark, sf), KEY), path)
@@ -153,6 +155,21 @@ def incremental_save(spark: SparkSession, sf: str) -> DataFrame:
     return saved.groupBy(F.col("save_id").cast("long")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
+@query("resumable_save", _STEPS_SQL)
+def resumable_save(spark: SparkSession, sf: str) -> DataFrame:
+    """The same steps, each finished by itself: a first run ends after one, a second does the rest."""
+    path = scratch_path(spark, "resumed")
+    numbered = pin(number_documents(corpus(spark, sf), KEY), "numbered")
+
+    def chunks(part: DataFrame) -> DataFrame:
+        return chunk(filters.unpivot_languages(part, en_only=False), NaiveChunker())
+
+    writers.resumable_save(numbered.where("doc_idx < 640"), chunks, path)
+    writers.resumable_save(numbered, chunks, path)
+    saved = spark.read.parquet(path)
+    return saved.groupBy(F.col("save_id").cast("long")).agg(F.count(F.lit(1)).alias("chunks"))
+
+
 _PER_SOURCE = """sampled AS (
   SELECT source AS dataset, text,
     row_number() OVER (PARTITION BY source ORDER BY md5('423|' || doc_id), doc_id) - 1 AS sample_idx

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +62,45 @@ def incremental_save(chunks: DataFrame, path: str, batch_size: int = 32, every:
     )
 
 
+def finished_ranges(spark: SparkSession, path: str, size: int) -> set[int]:
+    """The ranges of `size` documents that `resumable_save` has finished below `path`."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_finished")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    marks = [tuple(map(int, n.split("-"))) for n in names if not n.startswith((".", "_"))]
+    if any(own != size for own, _ in marks):
+        raise ValueError(f"ranges of another size than {size} are saved in {path}")
+    return {step for _, step in marks}
+
+
+def resumable_save(
+    documents: DataFrame,
+    embed_range: Callable[[DataFrame], DataFrame],
+    path: str,
+    batch_size: int = 32,
+    every: int = 20,
+) -> list[int]:
+    """Save `embed_range(documents)` in steps of `every * batch_size` documents, one after the other.
+
+    `documents` carries `doc_idx`. A step is written to its own folder and then entered in a log; a run
+    skips what the log holds, before any model is called, and writes again what was not finished.
+    Returns the steps of this run. Documents are read once for every step, so `doc_idx` should be their
+    order in storage, or the steps large.
+    """
+    spark, size = documents.sparkSession, every * batch_size
+    done = finished_ranges(spark, path, size)
+    step = F.floor(F.col("doc_idx") / size).cast("long")
+    # One number for every step that there is.
+    there = documents.select(step.alias("step")).distinct().orderBy("step").toArrow().column(0).to_pylist()
+    todo = [s for s in there if s is not None and s not in done]
+    for own in todo:
+        part = documents.where((F.col("doc_idx") >= own * size) & (F.col("doc_idx") < (own + 1) * size))
+        embed_range(part).write.mode("overwrite").parquet(f"{path.rstrip('/')}/save_id={own}")
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_finished/{size}-{own}")
+        mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, True).close()
+    return todo
+
+
 def export_text_samples(samples: DataFrame, path: str, text_col: str) -> None:
     """One text file per sampled document; a null text gives an empty file."""
     (

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspan.operators.chunking import NaiveChunker, TopicChunker, chunk
+from lexspan.operators.embedding import CallCounter, embed
 from lexspan.operators.models import HashModel
 from lexspan.operators.tokenizers import BatchTokenizer
 from lexspan.plans import indexing, validation
@@ -170,6 +171,32 @@ def test_incremental_save_is_idempotent(spark, tmp_path):
     assert saved.count() == 95
 
 
+def test_resumed_save_calls_no_model_for_finished_ranges(spark, tmp_path):
+    docs = spark.createDataFrame([(i, body(i)) for i in range(23)], "doc_idx long, text string")
+    counter = CallCounter(spark)
+    path, whole = str(tmp_path / "resumed"), str(tmp_path / "whole")
+
+    def embedded(part, fails_at=None):
+        first = part.agg(F.min("doc_idx")).first()[0]
+        if first == fails_at:
+            raise RuntimeError("killed")
+        return embed(part, MODEL, "text", counter=counter)
+
+    with pytest.raises(RuntimeError, match="killed"):
+        writers.resumable_save(docs, lambda part: embedded(part, fails_at=10), path, batch_size=5, every=1)
+    assert writers.finished_ranges(spark, path, 5) == {0, 1}
+    counter.reset()
+    assert writers.resumable_save(docs.where("doc_idx < 10"), embedded, path, batch_size=5, every=1) == []
+    assert counter.value == 0
+    assert writers.resumable_save(docs, embedded, path, batch_size=5, every=1) == [2, 3, 4]
+    assert counter.value > 0
+    assert writers.resumable_save(docs, embedded, whole, batch_size=5, every=1) == [0, 1, 2, 3, 4]
+    rows = [sorted(map(tuple, spark.read.parquet(p).collect())) for p in (path, whole)]
+    assert rows[0] == rows[1] and len(rows[0]) == 23
+    with pytest.raises(ValueError, match="another size"):
+        writers.resumable_save(docs, embedded, path, batch_size=6, every=1)
+
+
 def test_text_export_and_error_log(spark, tmp_path):
     rows = spark.createDataFrame([("A", 0, "x\ny"), ("A", 1, None)], "dataset string, sample_idx int, t string")
     writers.export_text_samples(rows, str(tmp_path / "t"), "t")
