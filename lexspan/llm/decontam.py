@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so that a question asked again with other
 values has the same template. Windows of template tokens are joined by hash; where they line up,
-every placeholder must stand for one value throughout, or the match does not count.
+every placeholder must stand for one value throughout, or the match does not count. Windows of the
+lower-case words and numbers as they stand find copies in another case, and of values only.
 
 Only built-in functions. Document windows are made and probed within the scan: only windows that
 are found in the benchmark are shuffled, by document and item.
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 from lexspan.llm.text import places
 from lexspan.session import pin
 
-NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
+NUMBER, NAME, UNIT, END = "\x01", "\x02", "\x03", "\x04"
+
+# Tokens of a text that are cut off as one block.
+BLOCK = 512
 
 # Units of measure and currency in English, German, French and Spanish.
 UNITS = (
@@ -31,7 +35,8 @@ UNITS = (
 # A capitalised word inside a sentence: behind a letter, comma or semicolon and one blank.
 _NAME = r"\p{Lu}(?<=[\p{L},;]\x20.)[\p{L}\p{M}'’-]+"
 _NUMBER = r"\d+(?:[.,:]\d+)*"
-_UNIT = rf"{NUMBER}\s*({'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})"
+_UNIT = rf"({NUMBER}[^{END}]*{END})\s*({'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})"
+_WORD = r"[\p{L}\p{M}\p{N}]+"
 
 
 @dataclass(frozen=True)
@@ -53,58 +58,56 @@ class Templates:
     broadcast_rows: int = 1_000_000
 
 
-def _slots(tokens: str, kind: str, values: Column) -> Column:
-    """(place, value) for every placeholder of a kind, given its values in order."""
-    at = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.col(tokens)[i] == kind)
-    pairs = F.arrays_zip(at.alias("at"), values.alias("value"))
-    typed = F.transform(pairs, lambda z: F.struct(z["at"].alias("at"), z["value"].alias("value")))
-    return F.when(F.size(values) > 0, typed).otherwise(F.array().cast("array<struct<at:int,value:string>>"))
+def _is_slot(token: Column) -> Column:
+    """Placeholders begin with the three least characters."""
+    return token < END
 
 
 def add_template(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add `_tokens`, the template of a text, and `_slots`, (place, value) of its placeholders."""
-    none = F.array().cast("array<string>")
-    df = df.withColumn("_t0", F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x03]", " "))
-    df = df.withColumn("_t1", F.regexp_replace("_t0", _NAME, NAME))
-    df = df.withColumn("_t2", F.regexp_replace("_t1", _NUMBER, f" {NUMBER} "))
-    numbered = F.col("_t2") != F.col("_t1")
-    df = df.withColumn("_t3", F.when(numbered, F.regexp_replace("_t2", _UNIT, f"{NUMBER} {UNIT} ")).otherwise(F.col("_t2")))
-    df = df.withColumn(
-        "_tokens", F.regexp_extract_all(F.lower("_t3"), F.lit(r"[\p{L}\p{M}\p{N}]+|[\x01-\x03]"), F.lit(0))
-    )
-    values = {
-        NAME: F.when(F.col("_t1") != F.col("_t0"), F.regexp_extract_all("_t0", F.lit(_NAME), F.lit(0))).otherwise(none),
-        NUMBER: F.when(numbered, F.regexp_extract_all("_t1", F.lit(_NUMBER), F.lit(0))).otherwise(none),
-        UNIT: F.when(F.col("_t3") != F.col("_t2"), F.regexp_extract_all("_t2", F.lit(_UNIT), F.lit(1))).otherwise(none),
-    }
-    slots = F.sort_array(F.concat(*[_slots("_tokens", kind, v) for kind, v in values.items()]))
-    return df.withColumn("_slots", slots).drop("_t0", "_t1", "_t2", "_t3")
-
-
-def _windows(df: DataFrame, keep: list[str], width: int | Column) -> DataFrame:
-    """One row for every window: `keep`, its place `pos` and `hash`."""
-    hashes = F.transform(
-        places(F.size("_tokens"), width), lambda i: F.xxhash64(F.slice("_tokens", i + 1, width))
-    )
-    return df.select(*keep, F.posexplode(hashes).alias("pos", "hash"))
+    """Add `_plain`, the lower-case words and numbers of a text, and `_raw`, the tokens of its template.
+
+    A placeholder in `_raw` holds its value between its kind and `END`.
+    """
+    bare = F.translate(F.coalesce(text, F.lit("")), f"{NUMBER}{NAME}{UNIT}{END}", "   \x05")
+    df = df.withColumn("_bare", bare)
+    df = df.withColumn("_t1", F.regexp_replace("_bare", _NAME, f"{NAME}$0{END}"))
+    df = df.withColumn("_t2", F.regexp_replace("_t1", _NUMBER, f" {NUMBER}$0{END} "))
+    units = F.regexp_replace("_t2", _UNIT, f"$1 {UNIT}$2{END} ")
+    df = df.withColumn("_t3", F.when(F.col("_t2") != F.col("_t1"), units).otherwise(F.col("_t2")))
+    slot = f"[{NUMBER}-{UNIT}][^{END}]*{END}"
+    df = df.withColumn("_raw", F.regexp_extract_all("_t3", F.lit(rf"{_WORD}|{slot}"), F.lit(0)))
+    df = df.withColumn("_plain", F.regexp_extract_all(F.lower("_bare"), F.lit(_WORD), F.lit(0)))
+    return df.drop("_bare", "_t1", "_t2", "_t3")
 
 
-def _within(slots: str, pos: str, width: int | Column) -> Column:
-    return F.transform(
-        F.filter(slots, lambda s: (s["at"] >= F.col(pos)) & (s["at"] < F.col(pos) + width)), lambda s: s["value"]
-    )
+def _template(raw: Column) -> Column:
+    return F.transform(raw, lambda t: F.when(_is_slot(t), F.left(t, F.lit(1))).otherwise(F.lower(t)))
+
+
+def _values(raw: Column) -> Column:
+    return F.transform(F.filter(raw, _is_slot), lambda t: F.substr(t, F.lit(2), F.length(t) - 2))
+
+
+def _hash(tokens: Column | str, at: Column, width: int | Column, plain: Column) -> Column:
+    return F.xxhash64(F.slice(tokens, at + 1, width), plain)
+
+
+def _windows(df: DataFrame, keep: list[str], width: Column, plain: bool) -> DataFrame:
+    """One row for every window of `_tokens`: `keep`, its place `pos` and `hash`."""
+    hashes = F.transform(places(F.size("_tokens"), width), lambda i: _hash("_tokens", i, width, F.lit(plain)))
+    return df.select(*keep, F.posexplode(hashes).alias("pos", "hash"))
 
 
 def _wide_enough(how: Templates) -> Column:
     """The width of an item's windows: that of `how`, doubled until some window has its literals."""
-    size = F.size("_tokens")
+    size = F.size("_raw")
     widths = F.transform(
         F.sequence(F.lit(0), F.lit(24)), lambda k: F.least(size, F.lit(how.width) * F.pow(F.lit(2), k)).cast("int")
     )
 
     def fits(width: Column) -> Column:
         def literals(i: Column) -> Column:
-            return width - F.size(F.filter("_slots", lambda s: (s["at"] >= i) & (s["at"] < i + width)))
+            return width - F.size(F.filter(F.slice("_raw", i + 1, width), _is_slot))
 
         return F.exists(places(size, width), lambda i: literals(i) >= how.literals)
 
@@ -115,33 +118,80 @@ def _wide_enough(how: Templates) -> Column:
 
 
 def benchmark_windows(items: DataFrame, how: Templates) -> DataFrame:
-    """hash, width, item_id, item_pos, item_values and first of all windows that may be searched.
+    """hash, width, plain, item_id, item_pos, item_values and first of all windows that may be searched.
 
+    `plain` windows are of lower-case words and numbers as they stand, the others of the template.
     Behind other text, the first word of an item may be a name. An item with a single window, at its
     start, has a second one with that name in front; `first` is the value that it must have there.
     """
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    made = add_template(items).withColumn("width", _wide_enough(how))
+    made = add_template(items).withColumn("width", _wide_enough(how)).withColumn("_tokens", _template(F.col("_raw")))
     columns = ["item_id", "width", "item_values", "hash", "pos"]
-    own = _windows(made.filter(F.col("width") >= how.literals), ["item_id", "text", "width", "_slots"], F.col("width"))
-    own = own.withColumn("item_values", _within("_slots", "pos", F.col("width")))
-    own = own.filter(F.col("width") - F.size("item_values") >= how.literals)
+    width = F.col("width")
+
+    def within(df: DataFrame) -> DataFrame:
+        return df.withColumn("item_values", _values(F.slice("_raw", F.col("pos") + 1, width)))
+
+    own = within(_windows(made.filter(width >= how.literals), ["item_id", "text", "width", "_raw"], width, False))
+    own = own.filter(width - F.size("item_values") >= how.literals)
     alone = own.groupBy("item_id", "text").agg(F.max("pos").alias("pos"), F.max("width").alias("width"))
     behind = add_template(
         alone.filter("pos = 0").select("item_id", "width", F.concat(F.lit("a "), F.ltrim("text")).alias("text"))
     )
-    behind = behind.filter(F.get("_tokens", F.lit(1)) == NAME).select(
-        "item_id",
-        F.least("width", F.size("_tokens") - 1).alias("width"),
-        F.slice("_tokens", 2, F.size("_tokens")).alias("_tokens"),
-        F.transform("_slots", lambda s: F.struct((s["at"] - 1).alias("at"), s["value"].alias("value"))).alias("_slots"),
+    behind = behind.filter(F.startswith(F.get("_raw", F.lit(1)), F.lit(NAME))).select(
+        "item_id", F.least("width", F.size("_raw") - 1).alias("width"), F.slice("_raw", 2, F.size("_raw")).alias("_raw")
     )
-    named = _windows(behind, ["item_id", "width", "_slots"], F.col("width")).filter("pos = 0")
-    named = named.withColumn("item_values", _within("_slots", "pos", F.col("width")))
-    both = own.select(*columns, F.lit(None).cast("string").alias("first")).unionByName(
-        named.select(*columns, F.get("item_values", F.lit(0)).alias("first"))
+    behind = behind.withColumn("_tokens", _template(F.col("_raw")))
+    named = within(_windows(behind, ["item_id", "width", "_raw"], width, False).filter("pos = 0"))
+    words = made.select(
+        "item_id", F.col("_plain").alias("_tokens"), F.least(F.size("_plain"), F.lit(how.width)).alias("width")
+    )
+    words = _windows(words.filter(width >= how.literals), ["item_id", "width"], width, True)
+    words = words.withColumn("item_values", F.array().cast("array<string>"))
+    no_first, plain = F.lit(None).cast("string").alias("first"), F.lit(True).alias("plain")
+    every = own.select(*columns, no_first, (~plain).alias("plain"))
+    every = every.unionByName(named.select(*columns, F.get("item_values", F.lit(0)).alias("first"), (~plain).alias("plain")))
+    every = every.unionByName(words.select(*columns, no_first, plain))
+    return every.withColumnRenamed("pos", "item_pos").distinct()
+
+
+def _blocks(plain: bool, widest: int) -> Column:
+    """The tokens of one kind in blocks, each with the windows that begin at its first `step` places."""
+    tokens, step = "_plain" if plain else "_raw", max(BLOCK, widest)
+
+    def block(i: Column) -> Column:
+        raw = F.slice(tokens, i + 1, step + widest - 1)
+        return F.struct(F.lit(plain).alias("plain"), i.alias("base"), F.lit(step).alias("step"), raw.alias("raw"))
+
+    made = F.transform(F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(step)), block)
+    none = F.array().cast("array<struct<plain:boolean,base:int,step:int,raw:array<string>>>")
+    return F.when(F.size(tokens) > 0, made).otherwise(none)
+
+
+def _document_windows(docs: DataFrame, widths: dict[bool, list[int]]) -> DataFrame:
+    """doc_id, pos and hash of all windows of the given widths; the block `raw` and their place `at` there.
+
+    One pass over the texts. A text is cut into blocks that overlap by a window, so that what goes
+    along with a window stays short however long the text is.
+    """
+    blocks = [_blocks(plain, max(own)) for plain, own in widths.items() if own]
+    cut = docs.select("doc_id", F.explode(F.concat(*blocks)).alias("_block")).select("doc_id", "_block.*")
+    cut = cut.withColumn("_tokens", F.when(F.col("plain"), F.col("raw")).otherwise(_template(F.col("raw"))))
+
+    def of(width: Column) -> Column:
+        at = F.filter(places(F.size("_tokens"), width), lambda i: i < F.col("step"))
+        return F.transform(
+            at, lambda i: F.struct(i.alias("at"), _hash("_tokens", i, width, F.col("plain")).alias("hash"))
+        )
+
+    chosen = F.when(F.col("plain"), F.array(*map(F.lit, widths[True])).cast("array<int>")).otherwise(
+        F.array(*map(F.lit, widths[False])).cast("array<int>")
+    )
+    windows = F.flatten(F.transform(chosen, of))
+    rows = cut.select("doc_id", "base", "raw", F.explode(windows).alias("_w"))
+    return rows.select(
+        "doc_id", (F.col("base") + F.col("_w.at")).alias("pos"), F.col("_w.hash").alias("hash"), F.col("_w.at").alias("at"), "raw"
     )
-    return both.withColumnRenamed("pos", "item_pos").distinct()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, how: Templates | None = None) -> DataFrame:
@@ -150,45 +200,48 @@ def find_leaks(docs: DataFrame, items: DataFrame, how: Templates | None = None)
     Returns doc_id, item_id, matched (windows of the item found), windows (of the item that may be
     searched), coverage, and reparameterised (whether some placeholder has another value than in
     the item). `docs` needs doc_id and text, `items` item_id and text; other columns are not read.
+    An item is held if enough windows of its template are found, or else of its plain words and
+    numbers, in any case; then the counts are of the plain windows, and nothing has another value.
 
     Null texts hold nothing, and rows without an id have one null id in common. Rows of one id are
-    taken together; repeated items are one. A copy in another case is not
-    found where that makes other placeholders. An item with fewer than `literals` words that are no
-    placeholders cannot be told from others and is not searched.
+    taken together; repeated items are one. An item with fewer than `literals` words and numbers
+    is not searched.
     """
     how = how or Templates()
     known = pin(benchmark_windows(items, how), "benchmark-windows")
     size = known.count()
-    sizes = known.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"))
-    made = add_template(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    small = size <= how.broadcast_rows
-    found = None
-    for row in known.select("width").distinct().orderBy("width").collect():  # up to `width`, and a few doubled
-        own = known.filter(F.col("width") == row.width).drop("width")
-        windows = _windows(made, ["doc_id", "_slots"], row.width)
-        hits = windows.join(F.broadcast(own) if small else own, "hash").select(
-            "doc_id",
-            "item_id",
-            "item_pos",
-            (F.col("pos") - F.col("item_pos")).alias("shift"),
-            "first",
-            F.transform(
-                F.arrays_zip(F.col("item_values").alias("x"), _within("_slots", "pos", row.width).alias("y")),
-                lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y")),
-            ).alias("pairs"),
-        )
-        # A first word that is a name only by what stands before it is none of the values.
-        named = F.col("first").isNotNull()
-        hits = hits.filter(~named | (F.get("pairs", F.lit(0))["y"] == F.col("first")))
-        hits = hits.withColumn("pairs", F.when(named, F.slice("pairs", 2, F.size("pairs"))).otherwise(F.col("pairs")))
-        hits = hits.drop("first")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    sizes = known.groupBy("item_id", "plain").agg(F.countDistinct("item_pos").alias("windows"))
+    # Up to `width` of either kind, and a few doubled.
+    widths = {plain: [] for plain in (False, True)}
+    for row in known.select("plain", "width").distinct().orderBy("plain", "width").collect():
+        widths[row.plain].append(row.width)
+    if not size:
         return docs.sparkSession.createDataFrame(
             [], "doc_id bigint, item_id bigint, matched bigint, windows bigint, coverage double, reparameterised boolean"
         )
+    made = add_template(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    small = size <= how.broadcast_rows
+    windows = _document_windows(made, widths)
+    hits = windows.join(F.broadcast(known) if small else known, "hash").select(
+        "doc_id",
+        "item_id",
+        "plain",
+        "item_pos",
+        (F.col("pos") - F.col("item_pos")).alias("shift"),
+        "first",
+        F.transform(
+            F.arrays_zip(
+                F.col("item_values").alias("x"), _values(F.slice("raw", F.col("at") + 1, F.col("width"))).alias("y")
+            ),
+            lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y")),
+        ).alias("pairs"),
+    )
+    # A first word that is a name only by what stands before it is none of the values.
+    named = F.col("first").isNotNull()
+    hits = hits.filter(~named | (F.get("pairs", F.lit(0))["y"] == F.col("first")))
+    hits = hits.withColumn("pairs", F.when(named, F.slice("pairs", 2, F.size("pairs"))).otherwise(F.col("pairs")))
     runs = (
-        found.groupBy("doc_id", "item_id", "shift")
+        hits.groupBy("doc_id", "item_id", "plain", "shift")
         .agg(
             F.collect_set("item_pos").alias("positions"),
             F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
@@ -197,15 +250,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, how: Templates | None = None)
         .filter(F.col("values") >= how.consistency * F.size("pairs"))
         .withColumn("changed", F.exists("pairs", lambda p: p["x"] != p["y"]))
     )
-    whole = runs.groupBy("doc_id", "item_id").agg(
+    whole = runs.groupBy("doc_id", "item_id", "plain").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("bigint").alias("matched"),
         F.every("changed").alias("reparameterised"),
     )
-    return (
-        whole.join(F.broadcast(sizes) if small else sizes, "item_id")
+    held = (
+        whole.join(F.broadcast(sizes) if small else sizes, ["item_id", "plain"])
         .withColumn("coverage", F.col("matched") / F.col("windows"))
         .filter(F.col("coverage") >= how.coverage)
-        .select("doc_id", "item_id", "matched", "windows", "coverage", "reparameterised")
+    )
+    best = F.min(F.struct("plain", "matched", "windows", "coverage", "reparameterised")).alias("best")
+    return held.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", "best.matched", "best.windows", "best.coverage", "best.reparameterised"
     )
 
 
