@@ -43,8 +43,7 @@ class Entropy:
     A candidate is a run of at least `window` characters of keys, with a digit and a letter. It is
     reported if the entropy of some window of it reaches the limit of its character class, in bits:
     `hex_bits` if all its letters are a to f, else `key_bits`. Windows that overlap a match of a
-    pattern in `allowed` do not count, and none does if such matches make up more than half of the
-    run. With `STEPS` among the patterns, a run of several steps is judged by each step, as a string
+    pattern in `allowed` do not count. With `STEPS` among the patterns, a run of several steps is judged by each step, as a string
     of its own class, and as a whole only if some step is not made of words and numbers.
     """
 
@@ -128,14 +127,13 @@ def has_entropy(candidate: Column, how: Entropy) -> Column:
 
         return F.exists(F.split(string, " "), piece)
 
-    fits = mixed(candidate) & (2 * F.length(F.translate(rest, " ", "")) >= F.length(candidate))
     whole = F.when(candidate.rlike("^[0-9a-fA-F]+$"), how.limit(how.hex_bits)).otherwise(how.limit(how.key_bits))
     found = reaches(rest, whole)
     if STEPS in how.allowed:
         steps = F.exists(F.split(rest, "/"), lambda x: mixed(x) & reaches(x, limit(x)))
         worded = F.forall(F.split(candidate, "[-_+/]+"), lambda x: x.rlike(_WORD))
         found = F.when(candidate.rlike(STEPS), F.when(steps, True).when(worded, False).otherwise(found)).otherwise(found)
-    return F.when(fits, found).otherwise(False)
+    return F.when(mixed(candidate), found).otherwise(False)
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"

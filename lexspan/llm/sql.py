@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspan.llm.secrets import Entropy
+from lexspan.llm.secrets import STEPS, Entropy
 from lexspan.llm.urls import RULES, Templates
 
 
@@ -23,21 +23,34 @@ def secret_scan_sql(how: Entropy | None = None) -> str:
     }
     letters = [chr(c) for c in range(0x21, 0x7F) if chr(c).isalnum() or chr(c) in "/_-"]
     runs = "|".join([r"\+" * 6, *(c * 6 for c in letters)])
-    allowed = [runs if p == r"(.)\1{5}" else p for p in how.allowed]
+    allowed = [runs if p == r"(.)\1{5}" else p for p in how.allowed if p != STEPS]
     terms = "[" + ", ".join(map(str, how.terms())) + "]"
-    least = (
-        f"list_min(list_transform(range(0, length(c) - {how.window - 1}), lambda i: "
-        f"list_sum(list_transform(map_values(list_aggregate(string_split(substr(c, CAST(i AS INT) + 1, {how.window}), ''), "
-        f"'histogram')), lambda n: CAST({terms}[CAST(n AS INT) + 1] AS BIGINT)))))"
-    )
-    fits = " AND ".join(
-        [
-            "regexp_matches(c, '[0-9]') AND regexp_matches(c, '[A-Za-z]')",
-            *(f"NOT regexp_matches(c, '{p}')" for p in allowed),
-            f"{least} <= CASE WHEN regexp_full_match(c, '[0-9a-fA-F]+') THEN {how.limit(how.hex_bits)} "
-            f"ELSE {how.limit(how.key_bits)} END",
-        ]
-    )
+    word = "(?:[A-Za-z]|[A-Z]*|[A-Z]?[a-z]+|(?:[A-Z]?[a-z]{2,})+)[0-9]*"
+    rest = "m.c"
+    for p in allowed:
+        rest = f"regexp_replace({rest}, '{p}', ' ', 'g')"
+
+    def mixed(x: str) -> str:
+        return f"regexp_matches({x}, '[0-9]') AND regexp_matches({x}, '[A-Za-z]')"
+
+    def limit(x: str, letters: str) -> str:
+        return f"CASE WHEN regexp_full_match({x}, '[{letters}]+') THEN {how.limit(how.hex_bits)} ELSE {how.limit(how.key_bits)} END"
+
+    def reaches(x: str, most: str) -> str:
+        least = (
+            f"list_min(list_transform(range(0, length(w) - {how.window - 1}), lambda i: "
+            f"list_sum(list_transform(map_values(list_aggregate(string_split(substr(w, CAST(i AS INT) + 1, {how.window}), ''), "
+            f"'histogram')), lambda n: CAST({terms}[CAST(n AS INT) + 1] AS BIGINT)))))"
+        )
+        return f"len(list_filter(string_split({x}, ' '), lambda w: length(w) >= {how.window} AND {least} <= {most})) > 0"
+
+    whole = reaches(rest, limit("m.c", "0-9a-fA-F"))
+    by_step = f"len(list_filter(string_split({rest}, '/'), lambda x: {mixed('x')} AND {reaches('x', limit('x', '0-9a-fA-F '))})) > 0"
+    worded = f"len(list_filter(regexp_split_to_array(m.c, '[-_+/]+'), lambda x: NOT regexp_full_match(x, '{word}'))) = 0"
+    found = whole
+    if STEPS in how.allowed:
+        found = f"CASE WHEN NOT regexp_matches(m.c, '{STEPS}') THEN {whole} WHEN {by_step} THEN true WHEN {worded} THEN false ELSE {whole} END"
+    fits = f"CASE WHEN {mixed('m.c')} THEN {found} ELSE false END"
     parts, chosen = [], []
     for k, (kind, p) in enumerate(patterns.items()):
         values = f"regexp_extract_all(t, '{p}', 2)" if kind == "assign" else "[]"
@@ -50,7 +63,7 @@ def secret_scan_sql(how: Entropy | None = None) -> str:
   FROM (SELECT row, regexp_split_to_array(t, '{p}') AS p, regexp_extract_all(t, '{p}') AS h, {values} AS v
     FROM texts) WHERE len(h) > 0)"""
         )
-        keep = {"assign": "length(m.v) >= 12", "entropy": fits.replace("c, ", "m.c, ").replace("(c)", "(m.c)")}.get(kind, "true")
+        keep = {"assign": "length(m.v) >= 12", "entropy": fits}.get(kind, "true")
         chosen.append(
             f"SELECT row, m.s AS s, m.k AS k, m.s + length(m.c) AS e, '{kind}:' || m.s || ':' || (m.s + length(m.c)) AS w "
             f"FROM {kind}_found WHERE {keep}"
