@@ -64,10 +64,7 @@ def _is_slot(token: Column) -> Column:
 
 
 def add_template(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add `_plain`, the lower-case words and numbers of a text, and `_raw`, the tokens of its template.
-
-    A placeholder in `_raw` holds its value between its kind and `END`.
-    """
+    """Add `_raw`, the tokens of a text's template; a placeholder holds its value between its kind and `END`."""
     bare = F.translate(F.coalesce(text, F.lit("")), f"{NUMBER}{NAME}{UNIT}{END}", "   \x05")
     df = df.withColumn("_bare", bare)
     df = df.withColumn("_t1", F.regexp_replace("_bare", _NAME, f"{NAME}$0{END}"))
@@ -76,7 +73,6 @@ def add_template(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_t3", F.when(F.col("_t2") != F.col("_t1"), units).otherwise(F.col("_t2")))
     slot = f"[{NUMBER}-{UNIT}][^{END}]*{END}"
     df = df.withColumn("_raw", F.regexp_extract_all("_t3", F.lit(rf"{_WORD}|{slot}"), F.lit(0)))
-    df = df.withColumn("_plain", F.regexp_extract_all(F.lower("_bare"), F.lit(_WORD), F.lit(0)))
     return df.drop("_bare", "_t1", "_t2", "_t3")
 
 
@@ -84,17 +80,27 @@ def _template(raw: Column) -> Column:
     return F.transform(raw, lambda t: F.when(_is_slot(t), F.left(t, F.lit(1))).otherwise(F.lower(t)))
 
 
-def _values(raw: Column) -> Column:
-    return F.transform(F.filter(raw, _is_slot), lambda t: F.substr(t, F.lit(2), F.length(t) - 2))
+def _plain(raw: Column) -> Column:
+    """The lower-case tokens, with the values of placeholders in place of their kinds."""
+    return F.transform(raw, lambda t: F.lower(F.when(_is_slot(t), _value(t)).otherwise(t)))
+
 
+def _value(token: Column) -> Column:
+    return F.substr(token, F.lit(2), F.length(token) - 2)
+
+
+def _values(raw: Column) -> Column:
+    return F.transform(F.filter(raw, _is_slot), _value)
 
-def _hash(tokens: Column | str, at: Column, width: int | Column, plain: Column) -> Column:
-    return F.xxhash64(F.slice(tokens, at + 1, width), plain)
 
+def _windows(df: DataFrame, keep: list[str], width: Column, plain: Column, last: Column | None = None) -> DataFrame:
+    """One row for every window of `_tokens`, up to the one that begins at `last`: `keep`, its place `pos` and `hash`.
 
-def _windows(df: DataFrame, keep: list[str], width: Column, plain: bool) -> DataFrame:
-    """One row for every window of `_tokens`: `keep`, its place `pos` and `hash`."""
-    hashes = F.transform(places(F.size("_tokens"), width), lambda i: _hash("_tokens", i, width, F.lit(plain)))
+    The kind of window is part of the hash, so that the join has one long for its key.
+    """
+    size = F.size("_tokens")
+    at = places(size if last is None else F.least(size, last + width), width)
+    hashes = F.transform(at, lambda i: F.xxhash64(F.slice("_tokens", i + 1, width), plain))
     return df.select(*keep, F.posexplode(hashes).alias("pos", "hash"))
 
 
@@ -132,7 +138,7 @@ def benchmark_windows(items: DataFrame, how: Templates) -> DataFrame:
     def within(df: DataFrame) -> DataFrame:
         return df.withColumn("item_values", _values(F.slice("_raw", F.col("pos") + 1, width)))
 
-    own = within(_windows(made.filter(width >= how.literals), ["item_id", "text", "width", "_raw"], width, False))
+    own = within(_windows(made.filter(width >= how.literals), ["item_id", "text", "width", "_raw"], width, F.lit(False)))
     own = own.filter(width - F.size("item_values") >= how.literals)
     alone = own.groupBy("item_id", "text").agg(F.max("pos").alias("pos"), F.max("width").alias("width"))
     behind = add_template(
@@ -142,11 +148,11 @@ def benchmark_windows(items: DataFrame, how: Templates) -> DataFrame:
         "item_id", F.least("width", F.size("_raw") - 1).alias("width"), F.slice("_raw", 2, F.size("_raw")).alias("_raw")
     )
     behind = behind.withColumn("_tokens", _template(F.col("_raw")))
-    named = within(_windows(behind, ["item_id", "width", "_raw"], width, False).filter("pos = 0"))
+    named = within(_windows(behind, ["item_id", "width", "_raw"], width, F.lit(False)).filter("pos = 0"))
     words = made.select(
-        "item_id", F.col("_plain").alias("_tokens"), F.least(F.size("_plain"), F.lit(how.width)).alias("width")
+        "item_id", _plain(F.col("_raw")).alias("_tokens"), F.least(F.size("_raw"), F.lit(how.width)).alias("width")
     )
-    words = _windows(words.filter(width >= how.literals), ["item_id", "width"], width, True)
+    words = _windows(words.filter(width >= how.literals), ["item_id", "width"], width, F.lit(True))
     words = words.withColumn("item_values", F.array().cast("array<string>"))
     no_first, plain = F.lit(None).cast("string").alias("first"), F.lit(True).alias("plain")
     every = own.select(*columns, no_first, (~plain).alias("plain"))
@@ -155,43 +161,30 @@ def benchmark_windows(items: DataFrame, how: Templates) -> DataFrame:
     return every.withColumnRenamed("pos", "item_pos").distinct()
 
 
-def _blocks(plain: bool, widest: int) -> Column:
-    """The tokens of one kind in blocks, each with the windows that begin at its first `step` places."""
-    tokens, step = "_plain" if plain else "_raw", max(BLOCK, widest)
+def _blocks(plain: bool, width: int) -> Column:
+    """The tokens in blocks that overlap; a block has the windows that begin at its first `step` places."""
+    step = max(BLOCK, width)
 
     def block(i: Column) -> Column:
-        raw = F.slice(tokens, i + 1, step + widest - 1)
-        return F.struct(F.lit(plain).alias("plain"), i.alias("base"), F.lit(step).alias("step"), raw.alias("raw"))
+        raw = F.slice("_raw", i + 1, step + width - 1)
+        fields = {"plain": F.lit(plain), "width": F.lit(width), "base": i, "step": F.lit(step), "raw": raw}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
 
-    made = F.transform(F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(step)), block)
-    none = F.array().cast("array<struct<plain:boolean,base:int,step:int,raw:array<string>>>")
-    return F.when(F.size(tokens) > 0, made).otherwise(none)
+    made = F.transform(F.sequence(F.lit(0), F.size("_raw") - 1, F.lit(step)), block)
+    none = F.array().cast("array<struct<plain:boolean,width:int,base:int,step:int,raw:array<string>>>")
+    return F.when(F.size("_raw") > 0, made).otherwise(none)
 
 
-def _document_windows(docs: DataFrame, widths: dict[bool, list[int]]) -> DataFrame:
-    """doc_id, pos and hash of all windows of the given widths; the block `raw` and their place `at` there.
+def _document_windows(docs: DataFrame, kinds: list[tuple[bool, int]]) -> DataFrame:
+    """`hash` of all windows of the given kinds (plain, width), with doc_id, plain, width and their place.
 
-    One pass over the texts. A text is cut into blocks that overlap by a window, so that what goes
-    along with a window stays short however long the text is.
+    One pass over the texts. A text is cut into blocks, so that what goes along with a window stays
+    short however long the text is: `base`, the block's place, `raw`, its tokens, and `pos` there.
     """
-    blocks = [_blocks(plain, max(own)) for plain, own in widths.items() if own]
-    cut = docs.select("doc_id", F.explode(F.concat(*blocks)).alias("_block")).select("doc_id", "_block.*")
-    cut = cut.withColumn("_tokens", F.when(F.col("plain"), F.col("raw")).otherwise(_template(F.col("raw"))))
-
-    def of(width: Column) -> Column:
-        at = F.filter(places(F.size("_tokens"), width), lambda i: i < F.col("step"))
-        return F.transform(
-            at, lambda i: F.struct(i.alias("at"), _hash("_tokens", i, width, F.col("plain")).alias("hash"))
-        )
-
-    chosen = F.when(F.col("plain"), F.array(*map(F.lit, widths[True])).cast("array<int>")).otherwise(
-        F.array(*map(F.lit, widths[False])).cast("array<int>")
-    )
-    windows = F.flatten(F.transform(chosen, of))
-    rows = cut.select("doc_id", "base", "raw", F.explode(windows).alias("_w"))
-    return rows.select(
-        "doc_id", (F.col("base") + F.col("_w.at")).alias("pos"), F.col("_w.hash").alias("hash"), F.col("_w.at").alias("at"), "raw"
-    )
+    cut = docs.select("doc_id", F.explode(F.concat(*[_blocks(*k) for k in kinds])).alias("_b")).select("doc_id", "_b.*")
+    tokens = F.when(F.col("plain"), _plain(F.col("raw"))).otherwise(_template(F.col("raw")))
+    keep = ["doc_id", "plain", "width", "base", "raw"]
+    return _windows(cut.withColumn("_tokens", tokens), keep, F.col("width"), F.col("plain"), F.col("step") - 1)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, how: Templates | None = None) -> DataFrame:
@@ -212,30 +205,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, how: Templates | None = None)
     size = known.count()
     sizes = known.groupBy("item_id", "plain").agg(F.countDistinct("item_pos").alias("windows"))
     # Up to `width` of either kind, and a few doubled.
-    widths = {plain: [] for plain in (False, True)}
-    for row in known.select("plain", "width").distinct().orderBy("plain", "width").collect():
-        widths[row.plain].append(row.width)
+    kinds = [(r.plain, r.width) for r in known.select("plain", "width").distinct().orderBy("plain", "width").collect()]
     if not size:
         return docs.sparkSession.createDataFrame(
             [], "doc_id bigint, item_id bigint, matched bigint, windows bigint, coverage double, reparameterised boolean"
         )
     made = add_template(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     small = size <= how.broadcast_rows
-    windows = _document_windows(made, widths)
-    hits = windows.join(F.broadcast(known) if small else known, "hash").select(
+    windows = _document_windows(made, kinds)
+    own = known.drop("plain", "width")
+    hits = windows.join(F.broadcast(own) if small else own, "hash").select(
         "doc_id",
         "item_id",
         "plain",
         "item_pos",
-        (F.col("pos") - F.col("item_pos")).alias("shift"),
+        (F.col("base") + F.col("pos") - F.col("item_pos")).alias("shift"),
         "first",
-        F.transform(
+        F.when(F.col("plain"), F.array().cast("array<struct<x:string,y:string>>")).otherwise(F.transform(
             F.arrays_zip(
-                F.col("item_values").alias("x"), _values(F.slice("raw", F.col("at") + 1, F.col("width"))).alias("y")
+                F.col("item_values").alias("x"), _values(F.slice("raw", F.col("pos") + 1, F.col("width"))).alias("y")
             ),
             lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y")),
-        ).alias("pairs"),
-    )
+        )).alias("pairs"),
+    )
     # A first word that is a name only by what stands before it is none of the values.
     named = F.col("first").isNotNull()
     hits = hits.filter(~named | (F.get("pairs", F.lit(0))["y"] == F.col("first")))

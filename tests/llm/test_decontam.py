@@ -24,7 +24,7 @@ def template(text):
 
 
 def plain_words(text):
-    return regex.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())
+    return [t if v is None else v.lower() for t, v in zip(*template(text), strict=True)]
 
 
 def widest_needed(values, how):
