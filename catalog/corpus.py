@@ -31,6 +31,7 @@ from lexspan.operators import filters, sampling
 from lexspan.operators.chunking import NaiveChunker, chunk
 from lexspan.operators.embedding import embed
 from lexspan.operators.ordinals import number_documents
+from lexspan.operators.stored import number_stored_documents
 from lexspan.operators.similarity import corpus_similarities
 from lexspan.plans.embedding import chunk_dataset
 from lexspan.plans.indexing import read_index, with_search_columns, write_index
@@ -326,21 +327,30 @@ def unpivot_languages(spark: SparkSession, sf: str) -> DataFrame:
     return filters.unpivot_languages(c)
 
 
-@query(
-    "document_ordinals",
+_ORDINALS_SQL = (
     with_(CORPUS_SQL, _KEPT)
     + """SELECT doc_id, row_number() OVER w - 1 AS doc_idx,
            CAST(coalesce(sum(1) OVER b, 0) AS BIGINT) AS doc_idx_en,
            CAST(coalesce(sum(CASE WHEN unofficial_text_fr <> '' THEN 1 ELSE 0 END) OVER b, 0)
              AS BIGINT) AS doc_idx_fr
          FROM kept WINDOW w AS (ORDER BY doc_id),
-           b AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+           b AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 )
+
+
+@query("document_ordinals", _ORDINALS_SQL)
 def document_ordinals(spark: SparkSession, sf: str) -> DataFrame:
     c = corpus(spark, sf).select("doc_id", "unofficial_text_en", "unofficial_text_fr")
     return number_documents(c, KEY).select("doc_id", "doc_idx", "doc_idx_en", "doc_idx_fr")
 
 
+# The table is stored in the order of its key.
+@query("stored_ordinals", _ORDINALS_SQL)
+def stored_ordinals(spark: SparkSession, sf: str) -> DataFrame:
+    c = corpus(spark, sf).select("doc_id", "unofficial_text_en", "unofficial_text_fr")
+    return number_stored_documents(c).select("doc_id", "doc_idx", "doc_idx_en", "doc_idx_fr")
+
+
 @query(
     "sample_documents",
     "SELECT doc_id, text FROM documents ORDER BY md5('423|' || doc_id), doc_id LIMIT 25",

@@ -486,6 +486,14 @@ def index_ids(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("index_id", key.alias("document_id"), "doc_id", _long("chunk_idx"))
 
 
+@query("stored_index_ids", with_(INDEX_SQL) + "SELECT index_id, document_id, doc_id, chunk_idx, num_tokens FROM ix")
+def stored_index_ids(spark: SparkSession, sf: str) -> DataFrame:
+    d = documents(spark, sf).withColumnRenamed("text", "unofficial_text_en")
+    chunks = indexing.numbered_chunks(d, None)
+    key = document_key(F.col("source"), F.col("doc_ordinal"), F.col("chunk_idx"))
+    return chunks.select("index_id", key.alias("document_id"), "doc_id", _long("chunk_idx"), "num_tokens")
+
+
 @query(
     "token_budget",
     with_(INDEX_SQL)

@@ -15,9 +15,10 @@ from lexspan.operators.ann import assign_cells
 from lexspan.operators.chunking import CHUNKS, Chunker, NaiveChunker
 from lexspan.operators.embedding import embed
 from lexspan.operators.explode import explode_once
-from lexspan.operators.filters import drop_empty_text, filter_datasets
+from lexspan.operators.filters import drop_empty_text, filter_datasets, has_text
 from lexspan.operators.models import EmbeddingModel
 from lexspan.operators.ordinals import running_totals
+from lexspan.operators.stored import stored_totals
 from lexspan.operators.tokenizers import BlankSplit, Tokenizer
 from lexspan.schema import CHUNK_IDX, TEXT_EN, TEXT_FR
 from lexspan.session import pin, shuffle_partitions
@@ -39,7 +40,7 @@ def _running(values: Column) -> Column:
 
 def numbered_chunks(
     documents: DataFrame,
-    order_by: list[str],
+    order_by: list[str] | None,
     chunker: Chunker | None = None,
     text_col: str = TEXT_EN,
     max_tokens: int | None = None,
@@ -47,6 +48,9 @@ def numbered_chunks(
 ) -> DataFrame:
     """Chunks with a dense `index_id`, their document's `doc_ordinal`, and `num_tokens`.
 
+    Without `order_by`, ids follow the order of storage, and no text is shuffled for them; that needs a
+    chunker that can tell the number of chunks, and takes no budget.
+
     With a budget, chunks up to and including the one that first exceeds it are kept, and
     `tokens_before` tells the tokens used before each. Totals are taken per document, so
     one narrow row per document is shuffled for them. Eager: they are written while the plan
@@ -55,6 +59,8 @@ def numbered_chunks(
     chunker, tokenizer = chunker or NaiveChunker(), tokenizer or BlankSplit()
     texts = drop_empty_text(documents, text_col, "empty")
     per_document = chunker.count(F.col(text_col))
+    if order_by is None and (per_document is None or max_tokens is not None):
+        raise ValueError("numbering in storage order takes a chunker that counts its chunks, and no budget")
     if per_document is None:
         # Counting chunks may take a model, which should run once.
         texts = pin(chunker.add_chunks(texts, text_col).drop(text_col), "chunked")
@@ -67,8 +73,13 @@ def numbered_chunks(
     index_id = (F.col("first_id") + F.col(CHUNK_IDX)).alias("index_id")
     if max_tokens is None:
         chunk_count = F.array_size(CHUNKS) if per_document is None else per_document
-        before = running_totals(texts, order_by, {"doc_ordinal": F.lit(1), "first_id": chunk_count})
-        joined = with_chunks(texts.join(before, order_by))
+        measures = {"doc_ordinal": F.lit(1), "first_id": chunk_count}
+        if order_by is None:
+            kept = has_text(F.col(text_col), "empty")
+            stored = stored_totals(documents, {n: F.when(kept, m) for n, m in measures.items()})
+            joined = with_chunks(drop_empty_text(stored, text_col, "empty"))
+        else:
+            joined = with_chunks(texts.join(running_totals(texts, order_by, measures), order_by))
         rows = explode_once(joined, CHUNKS, CHUNK_IDX, text_col)
         tokens = tokenizer.count(F.col(text_col)).cast("long").alias("num_tokens")
         return rows.select(index_id, "doc_ordinal", CHUNK_IDX, text_col, tokens, *metadata)
@@ -180,7 +191,7 @@ def request_batches(chunks: DataFrame, size: int = REQUEST_CHUNKS) -> DataFrame:
 
 def create_index(
     documents: DataFrame,
-    order_by: list[str],
+    order_by: list[str] | None,
     model: EmbeddingModel,
     chunker: Chunker | None = None,
     included_datasets: Iterable[str] | None = None,
@@ -190,6 +201,8 @@ def create_index(
 ) -> DataFrame:
     """Index records: ids, text, embedding, and the metadata of the document."""
     if included_datasets is not None:
+        if order_by is None:
+            raise ValueError("numbering in storage order takes a table without a filter")
         documents = filter_datasets(documents, included_datasets)
     documents = documents.drop(*{TEXT_EN, TEXT_FR} - {text_col})
     chunks = numbered_chunks(documents, order_by, chunker, text_col, max_tokens, tokenizer)
