@@ -129,20 +129,24 @@ def train_svm(x: np.ndarray, y: np.ndarray, how: LanguageModel) -> tuple[np.ndar
 
 
 def _training_rows(docs: DataFrame, how: LanguageModel) -> DataFrame:
-    """The bounded sample: at most `sample` rows of every language, with whole texts."""
+    """The bounded sample: at most `sample` distinct rows of every language, with whole texts."""
     learnable = docs.filter(
         F.col("lang").isNotNull()
         & F.col("text").rlike(r"\p{L}")
         & F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(how.folds)) != how.fold, F.lit(True))
     )
-    # Narrow rows first: only the ids of the sample are ranked, part by part and then as a whole.
+    # A language may hold any share of the rows. Its distinct hashes are counted first, by a sketch with
+    # a standard error of 5 %; as they are evenly spread, the smallest `sample` lie below that share of
+    # their range. Only rows below a bound five errors above it are ranked: a few more than `sample`.
     keyed = learnable.select("lang", F.xxhash64("doc_id", "text").alias("h"))
-    keyed = keyed.withColumn("part", F.pmod("h", F.lit(64)))
-    first = keyed.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).filter(
-        F.col("r") <= how.sample
-    )
+    share = (1.25 * how.sample + 6 * how.sample**0.5 + 36) / F.col("rows")
+    counted = keyed.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("rows"))
+    counted = counted.select("lang", share.alias("share"))
+    place = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    few = keyed.join(F.broadcast(counted), "lang").filter(place <= F.col("share"))  # a row for every language
     limit = (
-        first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+        few.distinct()
+        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
         .filter(F.col("r") <= how.sample)
         .groupBy("lang")
         .agg(F.max("h").alias("limit"))
@@ -152,17 +156,34 @@ def _training_rows(docs: DataFrame, how: LanguageModel) -> DataFrame:
         .join(F.broadcast(limit), "lang")  # a row for every language
         .filter("h <= limit")
         .select("lang", "h", "text")
+        .dropDuplicates(["lang", "h"])
     )
 
 
+def _vector_batches(how: LanguageModel):
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = NGrams(how)
+        for batch in sliced(batches, "text"):
+            for at in range(0, batch.num_rows, grams.BLOCK):
+                part = batch.slice(at, grams.BLOCK)
+                rows = grams(as_bytes(part.column("text")))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("lang"), part.column("h"), pa.array([r.tobytes() for r in rows], type=pa.binary())],
+                    names=["lang", "h", "x"],
+                )
+
+    return make
+
+
 def learn(docs: DataFrame, how: LanguageModel | None = None) -> list[dict]:
     """The machines: level (family or pair), positive and negative class, weights and bias.
 
     `docs` needs doc_id, text and lang. Every machine is trained in a group of its own; a group holds
-    at most `sample` rows for each language.
+    at most `sample` vectors of `dimensions` floats for each language, however long the texts are.
     """
     how = how or LanguageModel()
-    sample = pin(_training_rows(docs, how), "language-sample")
+    vectors = _training_rows(docs, how).mapInArrow(_vector_batches(how), "lang string, h bigint, x binary")
+    sample = pin(vectors, "language-sample")
     languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     families = sorted({family_of(x) for x in languages})
     jobs = []
@@ -179,7 +200,7 @@ def learn(docs: DataFrame, how: LanguageModel | None = None) -> list[dict]:
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["lang", "h"], kind="stable")
-        x = NGrams(how)([t.encode() for t in rows["text"]])
+        x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(len(rows), how.dimensions)
         w, bias = train_svm(x, rows["sign"].to_numpy(dtype=np.float64), how)
         first = rows.iloc[0]
         return pd.DataFrame([{"level": first["level"], "a": first["a"], "b": first["b"], "w": w.tobytes(), "bias": bias}])

@@ -3,8 +3,9 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lexspan.llm.langid import LanguageModel, family_of, identify, learn, op6_language_id, train_svm
+from lexspan.llm.langid import LanguageModel, _training_rows, family_of, identify, learn, op6_language_id, train_svm
 
 DOCS = "doc_id long, text string, lang string, lang_pred string, h string"
 
@@ -59,6 +60,28 @@ def test_held_out_rows_are_not_learnt(spark):
     assert learn(spark.createDataFrame(rows, DOCS)) == learn(spark.createDataFrame(spoilt, DOCS))
 
 
+def test_sample_is_that_of_the_smallest_hashes(spark):
+    how = LanguageModel(sample=20)
+    # One language holds most rows, another fewer than the sample; texts are of any length.
+    rows = [(i, f"text number {i} " * (1 + 400 * (i % 50 == 0)), "en" if i % 40 else "de", "", "") for i in range(4000)]
+    rows += [(9000 + i, "das sind wenige", "nl", "", "") for i in range(7)]
+    rows += [(None, "dieselbe Zeile", "de", "", "")] * 3000
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = _training_rows(docs, how).select("lang", "h").collect()
+    hashed = docs.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("h")).collect()
+    for lang in ("en", "de", "nl"):
+        own = sorted({r.h for r in hashed if r.lang == lang and (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 4 != 2)})
+        assert sorted(r.h for r in got if r.lang == lang) == own[: how.sample]
+
+
+def test_very_long_text_in_the_sample(spark):
+    rows = [(1, "the dogs were thinking " * 100_000, "en", "", ""), (2, "die hunde springen", "de", "", "")]
+    rows += [(10 + i, *r[1:]) for i, r in enumerate(corpus(4))]
+    machines = learn(spark.createDataFrame(rows, DOCS))
+    asked = spark.createDataFrame([(5, "the dogs were thinking", "", "", "")], DOCS)
+    assert identify(asked, machines).collect()[0].lang_pred == "en"
+
+
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], DOCS)
     assert learn(none) == []
