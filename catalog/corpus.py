@@ -166,7 +166,7 @@ def resumable_save(spark: SparkSession, sf: str) -> DataFrame:
         return chunk(filters.unpivot_languages(part, en_only=False), NaiveChunker())
 
     writers.resumable_save(numbered.where("doc_idx < 640"), chunks, path)
-    writers.resumable_save(numbered, chunks, path)
+    writers.resumable_save(numbered, chunks, path, at_once=64)
     saved = spark.read.parquet(path)
     return saved.groupBy(F.col("save_id").cast("long")).agg(F.count(F.lit(1)).alias("chunks"))
 

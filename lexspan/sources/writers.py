@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexspan.session import scratch_path
+
 # Fixed value: rows of the CSV sample written for inspection.
 CSV_SAMPLE = 50
 
@@ -79,13 +81,19 @@ def resumable_save(
     path: str,
     batch_size: int = 32,
     every: int = 20,
+    at_once: int = 1,
 ) -> list[int]:
     """Save `embed_range(documents)` in steps of `every * batch_size` documents, one after the other.
 
     `documents` carries `doc_idx`. A step is written to its own folder and then entered in a log; a run
     skips what the log holds, before any model is called, and writes again what was not finished.
-    Returns the steps of this run. Documents are read once for every step, so `doc_idx` should be their
-    order in storage, or the steps large.
+    Returns the steps of this run. Documents are first laid out by range, so that no step reads those
+    of another.
+
+    With `at_once` above 1, one job writes the folders of up to so many steps, which are logged when it
+    ends. `embed_range` must then work document by document and keep `doc_idx`. If such a job fails (or
+    there is no `doc_idx`), its halves are run in turn, so all steps before the one that fails are saved, as
+    if run one by one.
     """
     spark, size = documents.sparkSession, every * batch_size
     done = finished_ranges(spark, path, size)
@@ -93,11 +101,51 @@ def resumable_save(
     # One number for every step that there is.
     there = documents.select(step.alias("step")).distinct().orderBy("step").toArrow().column(0).to_pylist()
     todo = [s for s in there if s is not None and s not in done]
+    groups: dict[int, list[int]] = {}
     for own in todo:
-        part = documents.where((F.col("doc_idx") >= own * size) & (F.col("doc_idx") < (own + 1) * size))
-        embed_range(part).write.mode("overwrite").parquet(f"{path.rstrip('/')}/save_id={own}")
-        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_finished/{size}-{own}")
-        mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, True).close()
+        groups.setdefault(own // at_once, []).append(own)
+    laid_out = documents
+    if len(groups) > 1:
+        tasks = min(len(todo), len(groups) * spark.sparkContext.defaultParallelism)
+        at = scratch_path(spark, "ranges")
+        by_group = documents.withColumn("_group", F.floor(F.col("doc_idx") / (size * at_once)).cast("long"))
+        by_group = by_group.where(F.col("_group").isin(list(groups)))
+        by_group.repartitionByRange(tasks, "doc_idx").write.partitionBy("_group").parquet(at)
+        laid_out = spark.read.schema(by_group.schema).parquet(at)
+
+    def folder(own: int):
+        found = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/save_id={own}")
+        return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+    def write(part: DataFrame, steps: list[int]) -> None:
+        saved = embed_range(part)
+        if len(steps) > 1:
+            for fs, old in map(folder, steps):  # what an unfinished run has left
+                fs.delete(old, True)
+            saved.withColumn("save_id", step).write.mode("append").partitionBy("save_id").parquet(path)
+            saved = spark.createDataFrame([], saved.schema)
+            # Steps without rows have a folder, too.
+            steps = [own for own in steps if not folder(own)[0].exists(folder(own)[1])]
+        for own in steps:
+            saved.write.mode("overwrite").parquet(f"{path.rstrip('/')}/save_id={own}")
+
+    def run(part: DataFrame, steps: list[int]) -> None:
+        wanted = step == steps[0] if len(steps) == 1 else step.isin(steps)
+        try:
+            write(part.where(wanted), steps)
+        except Exception:
+            if len(steps) == 1:
+                raise
+            run(part, steps[: len(steps) // 2])
+            run(part, steps[len(steps) // 2 :])
+            return
+        for own in steps:
+            mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_finished/{size}-{own}")
+            mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, True).close()
+
+    for group, steps in groups.items():
+        part = laid_out.where(F.col("_group") == group).drop("_group") if len(groups) > 1 else documents
+        run(part, steps)
     return todo
 
 

@@ -197,6 +197,52 @@ def test_resumed_save_calls_no_model_for_finished_ranges(spark, tmp_path):
         writers.resumable_save(docs, embedded, path, batch_size=6, every=1)
 
 
+@pytest.mark.parametrize("at_once", [1, 4])
+def test_steps_do_not_read_the_documents_of_others(spark, tmp_path, at_once):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        read.add(1)
+        return i
+
+    docs = spark.range(60).select(counted("id").alias("doc_idx"), F.lit("t").alias("text"))
+    path = str(tmp_path / "steps")
+    size = {"batch_size": 5, "every": 1} | ({"at_once": at_once} if at_once > 1 else {})
+    assert writers.resumable_save(docs, lambda part: embed(part, MODEL, "text"), path, **size) == list(range(12))
+    # To find the steps, to find the bounds of the ranges and to lay them out, the last two with a filter;
+    # not once for every step.
+    assert 0 < read.value <= 5 * 60
+    saved = spark.read.parquet(path)
+    assert saved.where(F.floor(F.col("doc_idx") / 5) == F.col("save_id")).count() == 60
+    assert sorted(r.doc_idx for r in saved.collect()) == list(range(60))
+
+
+def test_steps_saved_at_once_end_where_one_fails(spark, tmp_path):
+    docs = spark.createDataFrame([(i, body(i)) for i in range(40) if not 10 <= i < 15], "doc_idx long, text string")
+    path = str(tmp_path / "steps")
+
+    def only(part, fails_at=None):
+        bad = F.raise_error("killed").cast("string")
+        kept = part.where((F.col("doc_idx") < 20) | (F.col("doc_idx") >= 25))  # no rows of step 4
+        return kept.withColumn("text", F.when(F.col("doc_idx") == fails_at, bad).otherwise(F.col("text")))
+
+    (tmp_path / "steps" / "save_id=4").mkdir(parents=True)
+    docs.write.mode("overwrite").parquet(f"{path}/save_id=4")  # left by a run that was not finished
+    size = {"batch_size": 5, "every": 1, "at_once": 8}
+    with pytest.raises(Exception, match="killed"):
+        writers.resumable_save(docs, lambda part: only(part, 28), path, **size)
+    assert writers.finished_ranges(spark, path, 5) == {0, 1, 3, 4}
+    assert writers.resumable_save(docs, only, path, **size) == [5, 6, 7]
+    saved = spark.read.parquet(path)
+    assert sorted(r.doc_idx for r in saved.collect()) == [*range(10), *range(15, 20), *range(25, 40)]
+    assert saved.where(F.floor(F.col("doc_idx") / 5) != F.col("save_id")).isEmpty()
+    assert (tmp_path / "steps" / "save_id=4").exists()
+    # Rows that cannot be told apart by step are saved one step at a time.
+    assert writers.resumable_save(docs.where("doc_idx < 3"), lambda p: p.drop("doc_idx"), path + "2", 1, 1, 3) == [0, 1, 2]
+    assert spark.read.parquet(path + "2").groupBy("save_id").count().count() == 3
+
+
 def test_text_export_and_error_log(spark, tmp_path):
     rows = spark.createDataFrame([("A", 0, "x\ny"), ("A", 1, None)], "dataset string, sample_idx int, t string")
     writers.export_text_samples(rows, str(tmp_path / "t"), "t")
