@@ -1,9 +1,11 @@
 import csv
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from lexspan.operators.chunking import NaiveChunker, TopicChunker, chunk
 from lexspan.operators.embedding import CallCounter, embed
 from lexspan.operators.models import HashModel
@@ -11,6 +13,7 @@ from lexspan.operators.tokenizers import BatchTokenizer
 from lexspan.plans import indexing, validation
 from lexspan.plans.embedding import embed_dataset
 from lexspan.plans.retrieval import question_table, retrieve
+from lexspan.session import shared_dir
 from lexspan.sources import corpus as src
 from lexspan.sources import writers
 from lexspan.streaming.ingest import document_stream, read_ingested, stream_ingest
@@ -254,6 +257,24 @@ def test_text_export_and_error_log(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 2
 
 
+def test_streamed_files_do_not_grow_with_the_table(spark, tmp_path):
+    docs = spark.createDataFrame([(None if i % 2 else i, f"text {i}") for i in range(600)], "doc_id long, text string")
+    docs.repartition(60).write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # a task for every file
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    old = set(folder.iterdir())
+    try:
+        got = queries()["stream_ingest"](spark, str(tmp_path))
+        assert got.select("unofficial_text").distinct().count() == 600
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    made = {p.name.split("-")[0]: p for p in folder.iterdir() if p not in old}
+    sizes = [spark.read.parquet(str(p)).count() for p in made["arriving"].glob("part-*")]
+    assert sum(sizes) == 600 and max(sizes) <= 40
+    assert len(list(made["ingested"].glob("batch_id=*"))) == 4
+
+
 def test_stream_equals_batch_and_restarts_without_duplicates(spark, tmp_path):
     docs = spark.createDataFrame([(i, body(i)) for i in range(9)], "k long, text string")
     arriving, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
