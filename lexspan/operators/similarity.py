@@ -28,9 +28,10 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / np.maximum(norms, NORM_FLOOR)
 
 
-def _embed_blocks(texts: np.ndarray, predict: Predict, batch: int) -> Iterator[np.ndarray]:
+def _embed_blocks(texts: pa.Array, predict: Predict, batch: int) -> Iterator[np.ndarray]:
     for lo in range(0, len(texts), BLOCK):
-        block = texts[lo : lo + BLOCK]
+        # Only the sentences of a block become Python objects at a time.
+        block = texts.slice(lo, BLOCK).to_numpy(zero_copy_only=False)
         calls = [predict(block[i : i + batch]) for i in range(0, len(block), batch)]
         yield np.vstack(calls).astype(np.float64)
 
@@ -42,7 +43,7 @@ def _adjacent(lists: pa.ListArray, predict: Predict, batch: int, wrap: bool) ->
     starts = ends - sizes
     sims = np.zeros(total)
     if total:
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
         full = sizes > 0
         first_at, last_at = starts[full], ends[full] - 1
         around = np.zeros(len(first_at))

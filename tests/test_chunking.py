@@ -1,14 +1,17 @@
+import gc
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexspan.functions.splitters import sentence_split
 from lexspan.operators.chunking import NaiveChunker, TopicChunker, chunk
 from lexspan.operators.models import DummyModel, HashModel
-from lexspan.operators.similarity import adjacent_similarity
+from lexspan.operators.similarity import _adjacent, adjacent_similarity
 
 ALPHABET = "ab é😀\n. "
 
@@ -132,3 +135,22 @@ def test_topic_chunks_do_not_shuffle_or_repeat_the_model(spark):
     plan = chunk(rows, TopicChunker(DummyModel(4)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_workers_do_not_hold_more_as_texts_grow():
+    predict = HashModel(16).make_predict_fn()
+    lists = pa.array([[f"sentence {i} of a long text that goes on." for i in range(300_000)]])
+    tracemalloc.start()
+    try:
+        for n in range(10):
+            predict(np.array([" ".join(f"{n}-{i:0>36}" for i in range(60_000))], dtype=object))
+        gc.collect()
+        kept, _ = tracemalloc.get_traced_memory()
+        tracemalloc.reset_peak()
+        sims = _adjacent(lists, lambda texts: np.ones((len(texts), 4)), 32, True)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(sims[0]) == 300_000 and sims[0][0].as_py() == sims[0][-1].as_py() == pytest.approx(1)
+    # 600,000 words would take 75 MB, all sentences as Python strings 27 MB.
+    assert kept < 50e6 and peak - kept < 15e6
