@@ -188,3 +188,26 @@ def test_dimension_is_checked(spark):
 def test_token_roundtrip_and_shards(one):
     assert one(embedding.token_roundtrip(F.col("x")), ["a b", "a  b", " a"]) == [True, False, False]
     assert one(embedding.shard_of(F.col("i"), 3), ["", "", "", ""]) == [0, 1, 2, 0]
+
+
+def test_training_reads_parts_of_bounded_size(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=8) + 20 * (i % 4)).tolist()) for i in range(4000)]
+    index = spark.createDataFrame(rows, "index_id int, embedding array<float>").coalesce(2)
+    parts = []
+
+    class Watched(ann.KMeans):
+        def fit(self, data, *params):
+            parts.append(data.rdd.getNumPartitions())
+            return super().fit(data, *params)
+
+    monkeypatch.setattr(ann, "KMeans", Watched)
+    few = ann.train_centres(index, 4)
+    monkeypatch.setattr(ann, "PART_BYTES", 8 * 8 * 500, raising=False)
+    many = ann.train_centres(index, 4)
+    # As they are where that is little; else no more than 500 vectors a part.
+    assert parts == [2, 8]
+    want = np.array([[20.0 * c] * 8 for c in range(4)])
+    for got in (few, many):
+        assert np.allclose(got[np.argsort(got[:, 0])], want, atol=0.3)
+    assert ann.train_centres(index.where("index_id < 1"), 1).shape == (1, 8)
