@@ -8,7 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexspan.llm.ctw import TREE, ContextTree, Level, _log_kt, build_model, gather_levels, op3_lm_scoring, score_texts
+from lexspan.llm import ctw
+from lexspan.llm.ctw import TREE, ContextTree, Level, _log_kt, build_model, fold_grams, gather_levels, op3_lm_scoring, score_texts
 
 DOCS = "doc_id long, text string, word string, score string"
 
@@ -141,6 +142,26 @@ def test_edges(spark, contexts):
         assert r.score == pytest.approx(score, rel=2e-4, abs=1e-3)
 
 
+@pytest.mark.parametrize(("depth", "most", "known"), [(3, 1 << 19, 1 << 21), (3, 7, 40), (5, 50, 0), (1, 3, 9), (7, 40, 60)])
+def test_whole_tree(spark, monkeypatch, depth, most, known):
+    # However rare, no context is pooled: neither by the share asked of a cut tree, nor by chunks and lookups.
+    whole = fold_grams
+    monkeypatch.setattr(ctw, "fold_grams", lambda how: whole(how, most))
+    docs = list(enumerate(TEXTS))
+    how = ContextTree(depth=depth, contexts=8, whole=True, known=known)
+    rows = {r.doc_id: r for r in score_texts(spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS).repartition(3), how).collect()}
+    want = word_scores(docs)
+    training = [t for d, t in docs if not is_held_out(d)]
+    for (d, _), score in zip(docs, brute_scores(training, TEXTS, depth, 1 << 40), strict=True):
+        assert (rows[d].n_tokens, rows[d].n_known) == want[d][1:3]
+        assert rows[d].base_score == pytest.approx(want[d][4], rel=1e-9)
+        assert rows[d].score == pytest.approx(score, rel=1e-5, abs=1e-5)
+
+
+def test_query_takes_the_whole_tree():
+    assert TREE.whole
+
+
 def test_empty_and_untrained(spark):
     assert score_texts(spark.createDataFrame([], DOCS)).count() == 0
     out = next(d for d in range(99) if is_held_out(d))
@@ -148,6 +169,13 @@ def test_empty_and_untrained(spark):
     assert len(r) == 2 and r[0].score == pytest.approx(24 * math.log10(0.5), rel=1e-6) and r[0].train_tokens == 0
 
 
+def test_empty_and_untrained_whole_tree(spark):
+    assert score_texts(spark.createDataFrame([], DOCS), TREE).count() == 0
+    out = next(d for d in range(99) if is_held_out(d))
+    r = score_texts(spark.createDataFrame([(out, "ab", "", ""), (out, "ab", "", "")], DOCS), TREE).collect()
+    assert len(r) == 2 and r[0].score == pytest.approx(24 * math.log10(0.5), rel=1e-6) and r[0].train_tokens == 0
+
+
 @pytest.mark.parametrize("times", [1, 100, 10_000])
 def test_tree_grows_with_the_corpus(spark, times):
     # A fixed share would ask for 7,629,394 in the largest of these corpora, and pool all but one.
