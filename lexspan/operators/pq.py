@@ -12,9 +12,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -44,6 +44,109 @@ def _padded(books: list[np.ndarray]) -> Codebooks:
     return np.stack([np.concatenate([b, np.repeat(b[-1:], size - len(b), axis=0)]) for b in books])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], parts: int, width: int) -> Iterator[list[np.ndarray]]:
+    """The vectors of a task, block by block, cut into their parts."""
+    for batch in batches:
+        for rows in blocks(batch, "v", 1 << 20):
+            matrix = to_matrix(rows.column("v"))
+            if matrix.shape[1] != parts * width or not np.isfinite(matrix).all():
+                raise ValueError("vectors must be finite and of one length")
+            yield [np.ascontiguousarray(matrix[:, p * width : (p + 1) * width]) for p in range(parts)]
+
+
+def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of every point, a block of points at a time."""
+    squares, step = (centres * centres).sum(axis=1), max(1, (1 << 20) // len(centres))
+    found = [(squares - 2.0 * points[at : at + step] @ centres.T).argmin(axis=1) for at in range(0, len(points), step)]
+    return np.concatenate(found)
+
+
+def _apart(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    off = points - centres[_nearest(points, centres)]
+    return (off * off).sum(axis=1)
+
+
+def _drawn(vectors: DataFrame, centres: list[np.ndarray], width: int, most: int, seed: tuple[int, ...]) -> list[np.ndarray]:
+    """For every part, so many pieces drawn from all vectors without being put back, by their squared
+    distance from the centres. A task keeps the best of its own draws."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    out = pa.schema([("part", pa.int32()), ("key", pa.float64()), ("piece", pa.list_(pa.float64()))])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random = np.random.default_rng([*seed, TaskContext.get().partitionId()])
+        best = [(np.zeros(0), np.zeros((0, width))) for _ in shared.value]
+        for pieces in _pieces(batches, len(shared.value), width):
+            for part, (points, own) in enumerate(zip(pieces, shared.value, strict=True)):
+                apart = _apart(points, own)
+                there = np.flatnonzero(apart)
+                keys = np.r_[best[part][0], random.exponential(size=len(points))[there] / apart[there]]
+                points = np.concatenate([best[part][1], points[there]])
+                keep = np.argpartition(keys, most - 1)[:most] if len(keys) > most else slice(None)
+                best[part] = keys[keep], points[keep]
+        for part, (keys, points) in enumerate(best):
+            columns = (np.full(len(keys), part), keys, list(points))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    place = F.row_number().over(W.partitionBy("part").orderBy("key"))
+    rows = vectors.mapInArrow(draw, "part int, key double, piece array<double>").withColumn("place", place)
+    got = rows.where(F.col("place") <= most).orderBy("part", "key").toArrow()
+    parts, points = got.column("part").to_numpy(), to_matrix(got.column("piece")).reshape(-1, width)
+    return [points[parts == p] for p in range(len(centres))]
+
+
+def _tallied(vectors: DataFrame, centres: list[np.ndarray], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every part and centre, how many pieces are nearest to it, and their sum."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    out = pa.schema([("part", pa.int32()), ("entry", pa.int32()), ("n", pa.int64()), *[(f"s{i}", pa.float64()) for i in range(width)]])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((len(own), 1 + width)) for own in shared.value]
+        for pieces in _pieces(batches, len(sums), width):
+            for points, own, held in zip(pieces, shared.value, sums, strict=True):
+                at = _nearest(points, own)
+                held[:, 0] += np.bincount(at, minlength=len(own))
+                for i in range(width):
+                    held[:, 1 + i] += np.bincount(at, weights=points[:, i], minlength=len(own))
+        for part, held in enumerate(sums):
+            entries = np.flatnonzero(held[:, 0])
+            columns = (np.full(len(entries), part), entries, held[entries, 0].astype(np.int64), *held[entries, 1:].T)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    schema = ", ".join(["part int, entry int, n long", *[f"s{i} double" for i in range(width)]])
+    added = [F.sum(c).alias(c) for c in out.names[2:]]
+    got = vectors.mapInArrow(tally, schema).groupBy("part", "entry").agg(*added).toArrow()
+    parts, entries = got.column("part").to_numpy(), got.column("entry").to_numpy()
+    numbers = np.stack([got.column(c).to_numpy().astype(np.float64) for c in out.names[2:]], axis=1)
+    made = []
+    for part, own in enumerate(centres):
+        held = np.zeros((len(own), 1 + width))
+        held[entries[parts == part]] = numbers[parts == part]
+        made.append((held[:, 0], held[:, 1:]))
+    return made
+
+
+def _moved(centres: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Every centre in the middle of its points; one without points stays."""
+    return np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+
+
+def _chosen(points: np.ndarray, weights: np.ndarray, entries: int, random: np.random.Generator) -> np.ndarray:
+    """At most so many centres of weighted points: each drawn by its distance from those before, then moved."""
+    at = [random.choice(len(points), p=weights / weights.sum())]
+    apart = ((points - points[at[0]]) ** 2).sum(axis=1)
+    while len(at) < entries and (chance := weights * apart).sum() > 0:
+        at.append(random.choice(len(points), p=chance / chance.sum()))
+        apart = np.minimum(apart, ((points - points[at[-1]]) ** 2).sum(axis=1))
+    centres = points[at]
+    for _ in range(30):
+        own = _nearest(points, centres)
+        sums = np.stack([np.bincount(own, weights * points[:, i], len(centres)) for i in range(points.shape[1])], axis=1)
+        before, centres = centres, _moved(centres, np.bincount(own, weights, len(centres)), sums)
+        if np.array_equal(before, centres):
+            break
+    return centres
+
+
 def train_codebooks(
     index: DataFrame,
     parts: int = 8,
@@ -53,28 +156,35 @@ def train_codebooks(
     rounds: int = 10,
     seed: int = 42,
 ) -> Codebooks:
-    """Codebooks learnt by k-means for every part, from all vectors or one in so many by a hash."""
+    """Codebooks learnt by k-means for every part, from all vectors or one in so many by a hash.
+
+    All parts learn in the same passes over the written vectors; between them only the centres are held.
+    Centres start from pieces drawn by their distance (k-means||, two draws of twice the entries). Eager.
+    """
     if not 0 < entries <= MOST_ENTRIES:
         raise ValueError(f"entries must be 1 to {MOST_ENTRIES}")
     if one_in > 1:
         index = index.where(F.pmod(F.xxhash64(vector_col, F.lit(seed)), F.lit(one_in)) == 0)
-    vectors = index.select(F.col(vector_col).cast("array<double>").alias("v")).persist()
-    try:
-        row = vectors.first()
-        if row is None or len(row.v) % parts:
-            raise ValueError(f"vectors must be there and fall into {parts} equal parts")
-        width = len(row.v) // parts
-        books = []
-        for part in range(parts):
-            piece = vectors.select(array_to_vector(F.slice("v", part * width + 1, width)).alias("features"))
-            if entries == 1 or piece.distinct().limit(2).count() == 1:
-                books.append(np.array(vectors.select(*[F.avg(F.col("v")[part * width + i]) for i in range(width)]).first())[None, :])
-            else:
-                learnt = KMeans(k=entries, seed=seed + part, maxIter=rounds, initSteps=2).fit(piece)
-                books.append(np.array(learnt.clusterCenters()))
-    finally:
-        vectors.unpersist()
-    return _padded(books)
+    vectors = pin(index.select(F.col(vector_col).alias("v")), "training")
+    row = vectors.first()
+    if row is None or len(row.v) % parts:
+        raise ValueError(f"vectors must be there and fall into {parts} equal parts")
+    width = len(row.v) // parts
+    centres = list(np.array(row.v, dtype=np.float64).reshape(parts, 1, width))
+    for step in range(2 if entries > 1 else 0):
+        more = _drawn(vectors, centres, width, 2 * entries, (seed, step))
+        centres = [np.unique(np.concatenate(both), axis=0) for both in zip(centres, more, strict=True)]
+    if entries > 1:
+        shares = _tallied(vectors, centres, width)
+        random = [np.random.default_rng([seed, 2, part]) for part in range(parts)]
+        centres = [_chosen(c, n, entries, r) for c, (n, _), r in zip(centres, shares, random, strict=True)]
+    for _ in range(rounds):
+        before = centres
+        centres = [_moved(c, *held) for c, held in zip(before, _tallied(vectors, before, width), strict=True)]
+        # As little as this is no change.
+        if all((((a - b) ** 2).sum(axis=1) <= 1e-8).all() for a, b in zip(before, centres, strict=True)):
+            break
+    return _padded(centres)
 
 
 def nearest_entries(matrix: np.ndarray, books: Codebooks) -> np.ndarray:
@@ -90,7 +200,7 @@ def nearest_entries(matrix: np.ndarray, books: Codebooks) -> np.ndarray:
 def encode(index: DataFrame, books: Codebooks, vector_col: str = "embedding") -> DataFrame:
     """Add the `code` of each vector: one byte for every part."""
     shared = index.sparkSession.sparkContext.broadcast(books)
-    step = max(1, (1 << 22) // (books.shape[1] * books.shape[2]))
+    step = max(1, (1 << 20) // (books.shape[1] * books.shape[2]))
 
     @F.arrow_udf("binary")
     def codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -178,7 +288,7 @@ def knn_compressed(
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             query_ids, tables = shared.value
             best = _BestCoded(tables, most)
-            step = max(1, (1 << 22) // len(tables))
+            step = max(1, (1 << 20) // len(tables))
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     some = batch.slice(at, step)

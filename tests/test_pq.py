@@ -2,6 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexspan.operators import ann, knn, pq
 
@@ -44,3 +48,34 @@ def test_few_rows_and_wrong_parts(spark, vectors):
         pq.train_codebooks(vectors[0], parts=5)
     with pytest.raises(ValueError, match="entries"):
         pq.train_codebooks(vectors[0], entries=300)
+
+
+def test_training_holds_no_vectors_and_is_as_good_as_k_means(spark, vectors, monkeypatch):
+    frame, x = vectors
+
+    def error(books):
+        return sum(((x[:, None, 4 * p : 4 * p + 4] - b[None]) ** 2).sum(axis=2).min(axis=1).sum() for p, b in enumerate(books))
+
+    before = [
+        KMeans(k=16, seed=42 + p, maxIter=10, initSteps=2)
+        .fit(frame.select(array_to_vector(F.slice(F.col("embedding").cast("array<double>"), 4 * p + 1, 4)).alias("features")))
+        .clusterCenters()
+        for p in range(4)
+    ]
+
+    def held(*_):
+        raise AssertionError("vectors are held in memory")
+
+    monkeypatch.setattr(DataFrame, "persist", held)
+    monkeypatch.setattr(DataFrame, "cache", held)
+    books = pq.train_codebooks(frame, parts=4, entries=16)
+    assert books.shape == (4, 16, 4)
+    assert error(books) <= 1.1 * error([np.array(b) for b in before])
+
+
+def test_one_entry_is_the_mean_and_bad_vectors_are_refused(spark, vectors):
+    frame, x = vectors
+    assert np.allclose(pq.train_codebooks(frame, parts=2, entries=1)[:, 0].ravel(), x.mean(axis=0))
+    bad = spark.createDataFrame([(1, [1.0, 2.0]), (2, [float("nan"), 2.0])], "index_id long, embedding array<double>")
+    with pytest.raises(Exception, match="finite"):
+        pq.train_codebooks(bad, parts=2, entries=2)
