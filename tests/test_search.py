@@ -1,11 +1,17 @@
 """Pruned and graph search against a full comparison."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lexspan.functions.vectors import l2_squared
 from lexspan.operators import ann, knn
+from lexspan.operators import graph as graph_module
 from lexspan.operators.graph import build_graph, knn_graph
 from lexspan.operators.pruned import knn_pruned
+from lexspan.session import pin, scratch_scope, shared_dir
 
 ROWS = "index_id long, embedding array<float>"
 
@@ -76,3 +82,29 @@ def test_graph_of_few_rows(spark):
     assert [(i, r) for _, r, i, _ in found(got.hits)] == [(1, 0), (2, 1), (0, 2)]
     with pytest.raises(ValueError, match="beam"):
         knn_graph(build_graph(index), asked_of(spark, np.zeros((1, 2))), k=50)
+
+
+def test_graph_is_the_same_by_cells_and_slices_and_shuffles_few_vectors(spark, data):
+    index, _ = data
+    whole = {(r.a, r.b) for r in build_graph(index, degree=4, rounds=2, least_change=0.0).edges.collect()}
+    cut = build_graph(index, degree=4, rounds=2, least_change=0.0, cell_nodes=100, slice_nodes=400)
+    assert {(r.a, r.b) for r in cut.edges.collect()} == whole
+    # A cell asks for a vector once, not once for every node that has it as a neighbour.
+    nodes = pin(cut.nodes, "nodes")
+    edges = cut.edges.join(nodes.select(F.col("id").alias("a"), F.col("vector").alias("x")), "a").join(
+        nodes.select(F.col("id").alias("b"), F.col("vector").alias("y")), "b"
+    )
+    edges = pin(edges.select("a", "b", l2_squared(F.col("x"), F.col("y")).alias("d"), F.lit(True).alias("new")), "edges")
+    cells = pin(graph_module._cells(nodes, 1001, 250), "cells")
+    assert cells.count() == 1001 and cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 400
+    for found in graph_module._descend(edges, nodes, cells, 4, 1):
+        once = found.groupBy("a", "b").count().agg(F.max("count")).first()[0]
+        assert once is None or once <= cells.select("cell").distinct().count()
+
+
+def test_rounds_of_a_graph_leave_only_the_last(spark, data):
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = {*shared.glob("graph-*")}
+    with scratch_scope(spark):
+        build_graph(data[0], degree=4, rounds=3, least_change=0.0)
+        assert len({*shared.glob("graph-*")} - before) == 1
