@@ -397,7 +397,7 @@ def block_batches(kind: type[SketchBlock] | type[SetBlock], how: NearDup):
                 cut = lo + int(held_rows[lo:hi].sum())
                 if cut > lo:
                     held.append(batch.slice(lo, cut - lo))
-                if cut < hi:
+                if cut < hi and held:  # a block may hold nobody
                     if block is None:
                         block = kind(pa.Table.from_batches(held), how)
                     out += block.links(pa.Table.from_batches([batch.slice(cut, hi - cut)]))
